@@ -34,14 +34,16 @@ def histogram(df: DataFrame, col: str, bins: int | None = 10,
     column is spread half a unit to both sides.
     """
     values = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("_v"))
-    counts = values.groupBy("_v").agg(F.count("*").alias("_n"))
-    least, most = counts.agg(F.min("_v")).scalar(), counts.agg(F.max("_v")).scalar()
-    lo = least if lo is None else lo
-    hi = most if hi is None else hi
-    n = F.lit(bins) if bins else F.least(F.lit(10), counts.agg(F.count("*").cast("int")).scalar())
+    lo = values.agg(F.min("_v")).scalar() if lo is None else lo
+    hi = values.agg(F.max("_v")).scalar() if hi is None else hi
+    n = F.lit(bins)
+    if bins is None:
+        distinct = values.distinct().agg(F.count("*").cast("int")).scalar()
+        n = F.least(F.lit(10), distinct)
     edges = df.sparkSession.range(1).select(lo.alias("_lo"), hi.alias("_hi"), n.alias("_bins"))
     flat = F.col("_lo") == F.col("_hi")
     edges = edges.where(F.col("_lo").isNotNull()).select(
+        F.lit(1).alias("_one"),
         F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
         F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"), "_bins",
     )
@@ -49,13 +51,13 @@ def histogram(df: DataFrame, col: str, bins: int | None = 10,
     spine = edges.select(
         "_lo", width.alias("_w"), F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)).alias("bin")
     )
-    # one row of edges meets every value row
+    # the one row of edges is broadcast to every value
     placed = (
-        counts.withColumn("_one", F.lit(1))
-        .join(F.broadcast(edges.withColumn("_one", F.lit(1))), "_one")
+        values.withColumn("_one", F.lit(1)).join(F.broadcast(edges), "_one")
         .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .withColumn("bin", F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.col("_bins") - 1).cast("int"))
-        .groupBy("bin").agg(F.sum("_n").alias("n"))
+        .groupBy(F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.col("_bins") - 1)
+                 .cast("int").alias("bin"))
+        .agg(F.count("*").alias("n"))
     )
     return spine.join(placed, "bin", "left").select(
         "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("bin_lo"),

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pulsegrid.functions import fixed_values as fv
 from pulsegrid.functions.scalar import ceil_hour, plus_hours
 from pulsegrid.operators.blocks import grid_forward_fill
+from pulsegrid.operators.windows import last_order
+from pulsegrid.session import stored
 
 
 # --- pairing --------------------------------------------------------------------
@@ -60,7 +62,7 @@ def assign_interval(points: DataFrame, intervals: DataFrame, key: str, point_id:
                     grace_hours: int = fv.INTERVAL_GRACE_HOURS) -> DataFrame:
     """Each point gets one interval of its key: among those covering it (with
     grace at both ends) the one starting nearest, else the nearest start at all.
-    Equal gaps go to the smaller id. Points of keys without intervals drop out.
+    Equal gaps go to the smaller id; ids are whole numbers from 0 to 10^18. Points of keys without intervals drop out.
 
     Per (key, day) a point meets: the intervals that touch that day, of which
     those covering the whole day shrink to the latest started one; and the last
@@ -115,15 +117,19 @@ def assign_interval(points: DataFrame, intervals: DataFrame, key: str, point_id:
 
     candidates = full.unionByName(partial).unionByName(around)
     covered = F.col(ts).between(F.col("_iv.from"), F.col("_iv.to"))
-    rank = F.struct(
-        (~covered).alias("outside"),
-        F.abs(micros(F.col("_iv.start")) - micros(F.col(ts))).alias("gap"),
-        F.col("_iv.id").alias("id"),
-    )
+    gap = F.abs(micros(F.col("_iv.start")) - micros(F.col(ts)))
+    # (outside, gap, id) as one number keeps the minimum a hash aggregate
+    ids = F.lit(10**18).cast("decimal(19,0)")
+    far = F.expr(f"CAST({10**37} AS DECIMAL(38,0))")
+    rank = (
+        F.when(covered, F.lit(0).cast("decimal(38,0)")).otherwise(far)
+        + (gap.cast("decimal(19,0)") * ids + F.col("_iv.id").cast("decimal(18,0)"))
+    ).cast("decimal(38,0)")
     best = pts.join(candidates, [key, "_day"]).groupBy(point_id).agg(F.min(rank).alias("_best"))
+    id_type = dict(intervals.dtypes)[interval_id]
     return points.join(best, point_id).select(
-        points["*"], F.col("_best.id").alias(interval_id),
-        (~F.col("_best.outside")).alias("covered"),
+        points["*"], (F.col("_best") % ids).cast(id_type).alias(interval_id),
+        (F.col("_best") < far).alias("covered"),
     )
 
 
@@ -142,29 +148,34 @@ def hourly_spine(intervals: DataFrame, key: str, start: str, end: str) -> DataFr
     return hours_covered(intervals.where(F.col(end) > F.col(start)), key, start, end)
 
 
+def hours_marked(points: DataFrame, key: str, ts: str) -> DataFrame:
+    """The distinct hours that hold a point, per key."""
+    return points.select(key, F.date_trunc("hour", F.col(ts)).alias("hour")).distinct()
+
+
+def flag_hours(grid: DataFrame, hours: DataFrame, key: str, name: str) -> DataFrame:
+    """True for the grid hours found in a table of distinct (key, hour)."""
+    hits = hours.select(key, "hour").withColumn(name, F.lit(True))
+    return grid.join(hits, [key, "hour"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def covered_flag(grid: DataFrame, intervals: DataFrame, key: str, start: str, end: str,
                  name: str = "covered") -> DataFrame:
     """True for grid hours inside any interval, both ends included."""
-    hits = hours_covered(intervals, key, start, end).withColumn(name, F.lit(True))
-    return grid.join(hits, [key, "hour"], "left").withColumn(
-        name, F.coalesce(name, F.lit(False))
-    )
+    return flag_hours(grid, hours_covered(intervals, key, start, end), key, name)
 
 
 def bucket_flag(grid: DataFrame, points: DataFrame, key: str, ts: str,
                 name: str = "marked") -> DataFrame:
     """True for the grid hour a point falls in."""
-    hits = points.select(key, F.date_trunc("hour", F.col(ts)).alias("hour")).distinct()
-    return grid.join(hits.withColumn(name, F.lit(True)), [key, "hour"], "left").withColumn(
-        name, F.coalesce(name, F.lit(False))
-    )
+    return flag_hours(grid, hours_marked(points, key, ts), key, name)
 
 
 # --- hourly values ------------------------------------------------------------------
 
 def hourly_last(points: DataFrame, key: str, ts: str, value: str, tie: str | None = None) -> DataFrame:
     """The last value inside each hour that has one."""
-    order = F.struct(F.unix_micros(ts), F.col(tie or value))
+    order = last_order(ts, tie, [value])
     return points.where(F.col(value).isNotNull()).groupBy(
         key, F.date_trunc("hour", F.col(ts)).alias("hour")
     ).agg(F.max_by(value, order).alias(value))
@@ -176,10 +187,11 @@ def asof_fill(grid: DataFrame, points: DataFrame, key: str, ts: str, values: dic
 
     `values` maps an output column to (condition, value column). Points are first
     reduced to the last one per key and hour they are known at, so what is carried
-    forward has grid size however many points there are.
+    forward has grid size however many points there are. That small table is stored,
+    because the fill reads it twice and the points must be read once.
     """
     order = lambda cond, v: F.when(
-        cond & F.col(v).isNotNull(), F.struct(F.unix_micros(ts), F.col(tie or v))
+        cond & F.col(v).isNotNull(), last_order(ts, tie, [v])
     )
     known = points.groupBy(key, ceil_hour(ts).alias("hour")).agg(*[
         F.max_by(v, order(cond, v)).alias(name) for name, (cond, v) in values.items()
@@ -194,7 +206,7 @@ def asof_fill(grid: DataFrame, points: DataFrame, key: str, ts: str, values: dic
              *[F.first(c, ignorenulls=True).alias(c) for c in rest],
              *[F.first(n, ignorenulls=True).alias(n) for n in names])
     )
-    return grid_forward_fill(both, [key], "hour", names).where("_grid").drop("_grid")
+    return grid_forward_fill(stored(both, "asof-grid"), [key], "hour", names).where("_grid").drop("_grid")
 
 
 def sum_parts(points: DataFrame, key: str, ts: str, part: str, value: str,
@@ -203,7 +215,7 @@ def sum_parts(points: DataFrame, key: str, ts: str, part: str, value: str,
     return (
         points.where(F.col(value).isNotNull())
         .groupBy(key, ts)
-        .agg(F.sum(value).alias(value), F.count_distinct(part).alias("_parts"))
+        .agg(F.sum(value).alias(value), F.size(F.collect_set(part)).alias("_parts"))
         .where(F.col("_parts") == parts)
         .drop("_parts")
     )

@@ -731,7 +731,8 @@ def metric_table(spark, sf):
 
 @query
 def fold_metrics(spark, sf):
-    rows = _long(spark, sf).join(stored(b.folds(spark, sf)).select(KEY, "fold"), KEY)
+    scored = b.scored(spark, sf).join(b.folds(spark, sf).select(KEY, "fold"), KEY)
+    rows = metrics.long_scores(scored, ["fold"], MODELS, LABELS)
     return metrics.metric_table(rows, [*GROUPS, "fold"], "y", "score")
 
 

@@ -6,7 +6,7 @@ from pulsegrid.functions import fixed_values as fv
 from pulsegrid.functions import scalar as fx
 from pulsegrid.operators.clean import keep_codes
 from pulsegrid.operators.timejoin import (
-    asof_fill, bucket_flag, covered_flag, hourly_spine, sum_parts,
+    asof_fill, flag_hours, hourly_spine, hours_covered, hours_marked, sum_parts,
 )
 
 PARTS = ["s_resp", "s_coag", "s_liver", "s_cardio", "s_cns", "s_renal"]
@@ -51,9 +51,11 @@ def hourly_score(stays: DataFrame, readings: DataFrame, infusion_intervals: Data
     filled = asof_fill(
         grid, points, key, ts, {r: (F.col("role") == r, "value") for r in ROLES}, tie
     )
-    flagged = covered_flag(filled, infusion_intervals, key, "starttime", "endtime", "_running")
-    flagged = bucket_flag(flagged, infusion_points, key, ts, "_given")
-    flagged = flagged.withColumn("pressor", F.col("_running") | F.col("_given"))
+    # both kinds of infusion record mark hours, so one join flags the grid
+    pressor = hours_covered(infusion_intervals, key, "starttime", "endtime").unionByName(
+        hours_marked(infusion_points, key, ts)
+    ).distinct()
+    flagged = flag_hours(filled, pressor, key, "pressor")
     return score_columns(flagged).select(key, "hour", "sofa", "n_components", *PARTS)
 
 
