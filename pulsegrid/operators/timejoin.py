@@ -181,30 +181,30 @@ def hourly_last(points: DataFrame, key: str, ts: str, value: str, tie: str | Non
     ).agg(F.max_by(value, order).alias(value))
 
 
-def asof_fill(grid: DataFrame, points: DataFrame, key: str, ts: str, values: dict[str, tuple],
-              tie: str | None = None) -> DataFrame:
-    """Give every grid hour the last value known at or before it.
-
-    `values` maps an output column to (condition, value column). Points are first
-    reduced to the last one per key and hour they are known at, so what is carried
-    forward has grid size however many points there are. That small table is stored,
-    because the fill reads it twice and the points must be read once.
+def asof_fill(grid: DataFrame, points: DataFrame, key: str, ts: str, name: str, value: str,
+              names: list[str], tie: str | None = None) -> DataFrame:
+    """Give every grid hour, per name, the last value known at or before it.
+
+    `points` is long (key, ts, name, value). Points are first reduced to the last one
+    per key, name and hour they are known at, so what is carried forward has grid size
+    however many points there are. That small table is stored, because the fill reads
+    it twice and the points must be read once.
     """
-    order = lambda cond, v: F.when(
-        cond & F.col(v).isNotNull(), last_order(ts, tie, [v])
+    latest = (
+        points.where(F.col(value).isNotNull() & F.col(name).isin(names))
+        .groupBy(key, ceil_hour(ts).alias("hour"), F.col(name).alias("_name"))
+        .agg(F.max_by(value, last_order(ts, tie, [value])).alias("_value"))
     )
-    known = points.groupBy(key, ceil_hour(ts).alias("hour")).agg(*[
-        F.max_by(v, order(cond, v)).alias(name) for name, (cond, v) in values.items()
-    ])
-    names = list(values)
     rest = [c for c in grid.columns if c not in (key, "hour")]
+    entry = F.when(F.col("_name").isNotNull(), F.struct("_name", "_value"))
     both = (
         grid.withColumn("_grid", F.lit(True))
-        .unionByName(known, allowMissingColumns=True)
+        .unionByName(latest, allowMissingColumns=True)
         .groupBy(key, "hour")
         .agg(F.max("_grid").alias("_grid"),
-             *[F.first(c, ignorenulls=True).alias(c) for c in rest],
-             *[F.first(n, ignorenulls=True).alias(n) for n in names])
+             F.map_from_entries(F.collect_list(entry)).alias("_known"),
+             *[F.first(c, ignorenulls=True).alias(c) for c in rest])
+        .select(key, "hour", "_grid", *rest, *[F.col("_known")[n].alias(n) for n in names])
     )
     return grid_forward_fill(stored(both, "asof-grid"), [key], "hour", names).where("_grid").drop("_grid")
 

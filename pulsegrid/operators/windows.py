@@ -28,8 +28,8 @@ def last_order(ts: str, tie: str | None, row: list[str]) -> Column:
     ).cast("decimal(38,0)")
 
 
-def _stats(value: Column, seconds: Column, order: Column) -> dict[str, Column]:
-    return {
+def _stats(value: Column, seconds: Column, order: Column, stats: list[str]) -> dict[str, Column]:
+    every = {
         "mean": F.mean(value),
         "stddev": F.stddev_samp(value),
         "min": F.min(value),
@@ -37,18 +37,20 @@ def _stats(value: Column, seconds: Column, order: Column) -> dict[str, Column]:
         "last": F.max_by(value, F.when(value.isNotNull(), order)),
         "slope": F.regr_slope(value, seconds),
     }
+    return {name: every[name] for name in stats}
 
 
 def signal_stats(signals: list[str], signal: str, value: str, ts: str,
-                 tie: str | None = None, key: str | None = None) -> list[Column]:
-    """signals x 6 conditional aggregates: the pivot a stream can run."""
+                 tie: str | None = None, key: str | None = None,
+                 stats: list[str] = fv.STATS) -> list[Column]:
+    """signals x statistics conditional aggregates: the pivot a stream can run."""
     row = [c for c in (key, signal, value) if c]
     order = last_order(ts, tie, row)
     out = []
     for s in signals:
         mine = F.col(signal) == s
-        stats = _stats(F.when(mine, F.col(value)), F.when(mine, _seconds(ts)), order)
-        out += [agg.alias(f"{s}_{name}") for name, agg in stats.items()]
+        aggs = _stats(F.when(mine, F.col(value)), F.when(mine, _seconds(ts)), order, stats)
+        out += [agg.alias(f"{s}_{name}") for name, agg in aggs.items()]
     return out
 
 
@@ -64,33 +66,35 @@ def latency_stats(latency: str = "latency_ms") -> list[Column]:
 def sliding_features(df: DataFrame, key: str, ts: str, signal: str, value: str,
                      signals: list[str] = fv.SIGNALS, tie: str | None = None,
                      width: str = fv.WINDOW_WIDTH, slide: str = fv.WINDOW_SLIDE,
-                     latency: str | None = None) -> DataFrame:
-    """One row per entity and sliding window: six statistics per signal, bounds,
+                     latency: str | None = None, stats: list[str] = fv.STATS) -> DataFrame:
+    """One row per entity and sliding window: the statistics of each signal, bounds,
     event count and, when asked, latency.
 
     A stream cannot pivot and may shuffle only once, so it runs the conditional
     aggregates. A batch first aggregates per (entity, window, signal), where each
-    row updates six aggregates and not 6 x signals, and then turns those few rows
+    row updates one set of aggregates and not one per signal, and then turns those few rows
     sideways; both give the same table.
     """
     window = F.window(F.col(ts), width, slide)
     if df.isStreaming:
-        aggs = signal_stats(signals, signal, value, ts, tie, key)
+        aggs = signal_stats(signals, signal, value, ts, tie, key, stats)
         aggs += latency_stats(latency) if latency else [F.count("*").alias("n_events")]
         wide = df.groupBy(key, window).agg(*aggs)
     else:
         known = F.when(F.col(signal).isin(signals), F.col(signal)).alias("_signal")
         order = last_order(ts, tie, [key, signal, value])
         long = df.groupBy(key, window, known).agg(
-            *[a.alias(f"_{n}") for n, a in _stats(F.col(value), _seconds(ts), order).items()],
+            *[a.alias(f"_{n}")
+              for n, a in _stats(F.col(value), _seconds(ts), order, stats).items()],
             F.count("*").alias("_n"),
             *([F.sum(latency).alias("_lsum"), F.count(latency).alias("_lcount"),
                F.min(latency).alias("_lmin"), F.max(latency).alias("_lmax")] if latency else []),
         )
-        aggs = [
-            F.max(F.when(F.col("_signal") == s, F.col(f"_{n}"))).alias(f"{s}_{n}")
-            for s in signals for n in fv.STATS
-        ]
+        # at most one entry per signal: far smaller than signals x statistics buffers
+        entry = F.struct("_signal", F.struct(*[F.col(f"_{n}").alias(n) for n in stats]))
+        aggs = [F.map_from_entries(
+            F.collect_list(F.when(F.col("_signal").isNotNull(), entry))
+        ).alias("_by_signal")]
         if latency:
             aggs += [
                 F.try_divide(F.sum("_lsum"), F.sum("_lcount")).alias("avg_latency_ms"),
@@ -98,8 +102,13 @@ def sliding_features(df: DataFrame, key: str, ts: str, signal: str, value: str,
                 F.max("_lmax").alias("max_latency_ms"),
             ]
         aggs.append(F.sum("_n").alias("n_events"))
-        wide = long.groupBy(key, "window").agg(*aggs)
-    names = [c for c in wide.columns if c not in (key, "window")]
+        wide = long.groupBy(key, "window").agg(*aggs).select("*", *[
+            F.col("_by_signal")[s][n].alias(f"{s}_{n}") for s in signals for n in stats
+        ])
+    names = [f"{s}_{n}" for s in signals for n in stats]
+    if latency:
+        names += ["avg_latency_ms", "min_latency_ms", "max_latency_ms"]
+    names.append("n_events")
     return wide.select(
         key,
         F.col("window.start").alias("window_start_time"),

@@ -8,6 +8,7 @@ derive the same.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from pulsegrid.functions.fixed_values import STATS
 from pulsegrid.operators.labels import horizon_labels, stratified_folds
 from pulsegrid.operators.windows import sliding_features
 from pulsegrid.sources.readers import read_table
@@ -43,13 +44,13 @@ def canonical(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def features(df: DataFrame, latency: str | None = None) -> DataFrame:
+def features(df: DataFrame, latency: str | None = None, stats: list[str] = STATS) -> DataFrame:
     return sliding_features(df, KEY, "ts", "event_type", "value", SIGNALS, tie="event_id",
-                            latency=latency)
+                            latency=latency, stats=stats)
 
 
-def windows(spark: SparkSession, sf: str) -> DataFrame:
-    return features(events(spark, sf))
+def windows(spark: SparkSession, sf: str, stats: list[str] = STATS) -> DataFrame:
+    return features(events(spark, sf), stats=stats)
 
 
 def cohort(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,8 +62,8 @@ def cohort(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return horizon_labels(windows(spark, sf), cohort(spark, sf), KEY)
+def labelled(spark: SparkSession, sf: str, stats: list[str] = STATS) -> DataFrame:
+    return horizon_labels(windows(spark, sf, stats), cohort(spark, sf), KEY)
 
 
 def folds(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,7 +78,7 @@ def _percent(value, top: float):
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled windows with two deterministic score sets."""
     zero = F.lit(0.0)
-    return labelled(spark, sf).select(
+    return labelled(spark, sf, ["min", "max", "last"]).select(
         *IDS, *LABELS, "n_events",
         _percent(F.coalesce("error_max", "view_max", zero), 200.0).alias("m1_label_6h"),
         _percent(F.coalesce("click_max", "purchase_max", zero), 100.0).alias("m1_label_12h"),

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.functions import scalar as fx
+from pulsegrid.functions import fixed_values as fv, scalar as fx
 from pulsegrid.operators import clean, keys, labels, learn, metrics, quality, report, timejoin
 from pulsegrid.operators import windows as win
 from pulsegrid.plans import bindings as b
@@ -16,8 +16,9 @@ from pulsegrid.streaming import scoring, state, stream
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 KEY, SIGNALS, LABELS, MODELS, IDS, LAST = b.KEY, b.SIGNALS, b.LABELS, b.MODELS, b.IDS, b.LAST
-FEATURES = [f"{s}_{t}" for s in SIGNALS for t in ("mean", "stddev", "min", "max", "last", "slope")]
-TREE = [f"{s}_{t}" for s in SIGNALS for t in ("mean", "min", "max", "last")]
+FEATURES = fx.tree_columns(SIGNALS, fv.STATS)
+TREE_STATS = fv.TREE_STATS
+TREE = fx.tree_columns(SIGNALS)
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -68,24 +69,24 @@ def temporal_features(spark, sf):
 
 @query
 def forward_fill(spark, sf):
-    return win.forward_fill(stored(b.windows(spark, sf).select(*IDS, *LAST)), KEY, LAST)
+    return win.forward_fill(stored(b.windows(spark, sf, ["last"]).select(*IDS, *LAST)), KEY, LAST)
 
 
 @query
 def fill_and_impute(spark, sf):
-    table = stored(b.windows(spark, sf).select(*IDS, *LAST))
+    table = stored(b.windows(spark, sf, ["last"]).select(*IDS, *LAST))
     return labels.fill_and_impute(table, stored(b.folds(spark, sf)), KEY, LAST)
 
 
 @query
 def sequence_features(spark, sf):
-    table = stored(b.labelled(spark, sf).select(*IDS, *LABELS, *LAST))
+    table = stored(b.labelled(spark, sf, ["last"]).select(*IDS, *LABELS, *LAST))
     return labels.sequence_features(table, stored(b.folds(spark, sf)), KEY, SIGNALS, LABELS)
 
 
 @query
 def tree_features(spark, sf):
-    return labels.tree_features(b.labelled(spark, sf), KEY, SIGNALS, LABELS)
+    return labels.tree_features(b.labelled(spark, sf, TREE_STATS), KEY, SIGNALS, LABELS)
 
 
 @query
@@ -106,11 +107,11 @@ def lagged(spark, sf):
 
 @query
 def freshness(spark, sf):
-    return b.windows(spark, sf).select(*IDS, *LAST).withColumns(fx.freshness(LAST)).drop(*LAST)
+    return b.windows(spark, sf, ["last"]).select(*IDS, *LAST).withColumns(fx.freshness(LAST)).drop(*LAST)
 
 
 def _sequences(spark, sf):
-    table = stored(b.labelled(spark, sf).select(*IDS, *LABELS, *LAST))
+    table = stored(b.labelled(spark, sf, ["last"]).select(*IDS, *LABELS, *LAST))
     return win.sequence_table(table, KEY, LAST, LABELS, 100)
 
 
@@ -171,13 +172,13 @@ def keep_ids(spark, sf):
 
 @query
 def drop_incomplete(spark, sf):
-    table = b.windows(spark, sf).select(*IDS, "click_mean", "view_mean")
+    table = b.windows(spark, sf, ["mean"]).select(*IDS, "click_mean", "view_mean")
     return clean.drop_incomplete(table, ["click_mean", "view_mean"])
 
 
 @query
 def incomplete_counts(spark, sf):
-    return clean.incomplete_counts(b.windows(spark, sf), ["click_mean", "view_mean"])
+    return clean.incomplete_counts(b.windows(spark, sf, ["mean"]), ["click_mean", "view_mean"])
 
 
 @query
@@ -253,7 +254,7 @@ def band_scores(spark, sf):
 @query
 def row_sum(spark, sf):
     cols = [f"{s}_mean" for s in SIGNALS]
-    return b.windows(spark, sf).select(
+    return b.windows(spark, sf, ["mean"]).select(
         *IDS, fx.row_sum(cols).alias("total"), fx.row_count(cols).alias("n_parts"),
         fx.ensemble_mean(cols).alias("mean"),
     )
@@ -360,8 +361,10 @@ def hourly_last(spark, sf):
 @query
 def asof_fill(spark, sf):
     grid = timejoin.hourly_spine(b.spans(spark, sf), KEY, "intime", "outtime")
-    picks = {f"{s}_known": (F.col("event_type") == s, "value") for s in ("purchase", "view")}
-    return timejoin.asof_fill(grid, b.events(spark, sf), KEY, "ts", picks, "event_id")
+    filled = timejoin.asof_fill(
+        grid, b.events(spark, sf), KEY, "ts", "event_type", "value", ["purchase", "view"], "event_id"
+    )
+    return filled.withColumnsRenamed({"purchase": "purchase_known", "view": "view_known"})
 
 
 @query
@@ -447,24 +450,24 @@ def class_weight(spark, sf):
 
 @query
 def lofo_median(spark, sf):
-    return labels.lofo_median(b.windows(spark, sf), b.folds(spark, sf), KEY, LAST)
+    return labels.lofo_median(b.windows(spark, sf, ["last"]), b.folds(spark, sf), KEY, LAST)
 
 
 @query
 def lofo_moments(spark, sf):
-    return labels.lofo_moments(b.windows(spark, sf), b.folds(spark, sf), KEY, LAST)
+    return labels.lofo_moments(b.windows(spark, sf, ["last"]), b.folds(spark, sf), KEY, LAST)
 
 
 @query
 def standardised(spark, sf):
-    table, folds = stored(b.windows(spark, sf).select(*IDS, *LAST)), stored(b.folds(spark, sf))
+    table, folds = stored(b.windows(spark, sf, ["last"]).select(*IDS, *LAST)), stored(b.folds(spark, sf))
     moments = labels.lofo_moments(table, folds, KEY, LAST)
     return labels.standardised(table, folds, KEY, LAST, moments)
 
 
 @query
 def leakage_check(spark, sf):
-    table, folds = stored(b.windows(spark, sf).select(KEY, *LAST)), stored(b.folds(spark, sf))
+    table, folds = stored(b.windows(spark, sf, ["last"]).select(KEY, *LAST)), stored(b.folds(spark, sf))
     medians = labels.lofo_median(table, folds, KEY, LAST)
     return labels.leakage_check(table, folds, KEY, LAST, medians)
 
@@ -594,7 +597,7 @@ def null_delta(spark, sf):
 
 @query
 def range_check(spark, sf):
-    flags = b.windows(spark, sf).select(*LAST).withColumns(fx.freshness(LAST))
+    flags = b.windows(spark, sf, ["last"]).select(*LAST).withColumns(fx.freshness(LAST))
     limits = spark.createDataFrame(
         [("click", 5.0, 25.0), ("view", 85.0, 95.0), ("error", 0.0, 21.0)],
         "signal string, lo double, hi double",
@@ -775,7 +778,7 @@ def bootstrap_ci(spark, sf):
 # --- learners ----------------------------------------------------------------------------------------
 
 def _training(spark, sf):
-    table = stored(b.labelled(spark, sf).select(*IDS, *LABELS, *TREE, "n_events"))
+    table = stored(b.labelled(spark, sf, TREE_STATS).select(*IDS, *LABELS, *TREE, "n_events"))
     return stored(win.temporal_features(table, KEY)), stored(b.folds(spark, sf))
 
 
@@ -857,7 +860,7 @@ def stream_multi_sink(spark, sf):
 
 @query
 def stream_forward_fill(spark, sf):
-    table = b.features(_event_stream(spark, sf)).select(*IDS, *LAST)
+    table = b.features(_event_stream(spark, sf), stats=["last"]).select(*IDS, *LAST)
     return _drained(spark, state.stream_forward_fill(table, KEY, LAST), "stream-fill")
 
 
@@ -869,14 +872,14 @@ def stream_positions(spark, sf):
 
 @query
 def stream_scored(spark, sf):
-    table = stored(b.labelled(spark, sf).select(*IDS, *LABELS, *TREE, "n_events"))
+    table = stored(b.labelled(spark, sf, TREE_STATS).select(*IDS, *LABELS, *TREE, "n_events"))
     table = stored(win.temporal_features(table, KEY))
     live = TREE + ["window_idx", "hours_in_icu"]
     models = {
         h: learn.fit_final(table, live, f"label_{h}", maxIter=3) for h in ("6h", "12h", "24h")
     }
     path = scratch_path(spark, "predictions")
-    windows = b.features(_event_stream(spark, sf)).select(*IDS, *TREE, "n_events")
+    windows = b.features(_event_stream(spark, sf), stats=TREE_STATS).select(*IDS, *TREE, "n_events")
     run = scoring.score_stream(windows, KEY, models, path, stream.checkpoint_for(spark, "scoring"))
     stream.run_available(run)
     return spark.read.parquet(path).drop("epoch")

@@ -48,9 +48,7 @@ def hourly_score(stays: DataFrame, readings: DataFrame, infusion_intervals: Data
     points = single.unionByName(summed, allowMissingColumns=True)
     if tie:
         points = points.withColumn(tie, F.coalesce(tie, F.lit(0)))
-    filled = asof_fill(
-        grid, points, key, ts, {r: (F.col("role") == r, "value") for r in ROLES}, tie
-    )
+    filled = asof_fill(grid, points, key, ts, "role", "value", ROLES, tie)
     # both kinds of infusion record mark hours, so one join flags the grid
     pressor = hours_covered(infusion_intervals, key, "starttime", "endtime").unionByName(
         hours_marked(infusion_points, key, ts)

@@ -73,6 +73,17 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keep streaming state off the heap and save only its changes per batch; the
+    processor API needs this store anyway."""
+    state = "spark.sql.streaming.stateStore"
+    spark.conf.set(
+        f"{state}.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    spark.conf.set(f"{state}.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint after a bounded count; larger sides stay shuffle joins."""
     small = df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows

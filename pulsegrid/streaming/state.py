@@ -10,13 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark) -> None:
-    """The state API needs this store; it also keeps state off the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
+from pulsegrid.session import use_rocksdb
 
 def _in_order(batches: Iterator[pd.DataFrame], ts: str) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(ts, ignore_index=True)

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from pulsegrid import schemas
 from pulsegrid.functions import fixed_values as fv
 from pulsegrid.functions.scalar import horizon_label
-from pulsegrid.session import broadcast_if_small, scratch_path
+from pulsegrid.session import broadcast_if_small, scratch_path, use_rocksdb
 from pulsegrid.sources.messages import decode_events, with_latency
 
 
@@ -74,6 +74,7 @@ def checkpoint_for(spark: SparkSession, name: str) -> str:
 
 def sink_parquet(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append to Parquet, draining what exists now."""
+    use_rocksdb(stream.sparkSession)
     return (
         stream.writeStream.format("parquet").outputMode("append")
         .option("path", path).option("checkpointLocation", checkpoint)
@@ -83,6 +84,8 @@ def sink_parquet(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 def sink_batches(stream: DataFrame, batch_fn: Callable[[DataFrame, int], None],
                  checkpoint: str) -> StreamingQuery:
+    """Hand each micro-batch to a function, draining what exists now."""
+    use_rocksdb(stream.sparkSession)
     return (
         stream.writeStream.foreachBatch(batch_fn).outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
