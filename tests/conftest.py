@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,7 @@ from pulsegrid.session import get_session  # noqa: E402
 def spark():
     session = get_session("tests", "local[4]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-        "spark.driver.memory": "4g",
+        "spark.driver.memory": "4g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="shared-"),
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session
