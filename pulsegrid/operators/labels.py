@@ -6,6 +6,7 @@ from pulsegrid.functions import fixed_values as fv
 from pulsegrid.functions.scalar import freshness, horizon_label, plus_hours, standardise
 from pulsegrid.operators.ordered import lofo_medians, ordered_index, percentiles
 from pulsegrid.operators.windows import forward_fill
+from pulsegrid.session import stored
 
 
 # --- baseline and onset ---------------------------------------------------------
@@ -40,12 +41,12 @@ def first_rise(series: DataFrame, refs: DataFrame, key: str, ts: str, value: str
 def label_entities(entities: DataFrame, series: DataFrame, refs: DataFrame, key: str, ts: str,
                    value: str, start: str, ref: str) -> DataFrame:
     """One row per entity: label, onset and the reason for it."""
-    starts = entities.select(key, start)
-    known = refs.select(key, ref).join(starts, key)
+    # one row per entity with a reference time, used by both passes over the series
+    known = stored(refs.select(key, ref).join(entities.select(key, start), key), "references")
     base = baseline_value(series, known, key, ts, value, start, ref)
     onset = first_rise(series, known.join(base, key), key, ts, value, ref)
     has_series = series.select(key).distinct().withColumn("_series", F.lit(True))
-    has_ref = refs.select(key).distinct().withColumn("_ref", F.lit(True))
+    has_ref = known.select(key).withColumn("_ref", F.lit(True))
     reason = (
         F.when(F.col("_series").isNull(), "no_sofa_data")
         .when(F.col("_ref").isNull(), "no_soi")
@@ -146,10 +147,10 @@ def lofo_moments(df: DataFrame, folds: DataFrame, key: str, cols: list[str],
     free of cancellation.
     """
     long = _long(df, folds, key, cols)
-    part = long.where(F.col("value").isNotNull()).groupBy("feature", "fold").agg(
+    part = stored(long.where(F.col("value").isNotNull()).groupBy("feature", "fold").agg(
         F.count("value").alias("n"), F.mean("value").alias("m"),
         (F.var_pop("value") * F.count("value")).alias("ss"),
-    )
+    ), "fold-moments")
     centre = part.groupBy("feature").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("g"))
     others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: j != F.col("fold"))
     merged = (

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulsegrid.functions import fixed_values as fv
 from pulsegrid.functions.scalar import ensemble_mean, hours_between
 from pulsegrid.operators.keys import merge_scores
+from pulsegrid.operators.quality import with_row
 from pulsegrid.operators.ordered import PIECE, percentiles, range_pieces, running_sums
 
 
@@ -167,8 +168,7 @@ def lead_summary(leads: DataFrame, cohort: DataFrame, positive: str = "sepsis_la
     )
     ranks = percentiles(leads, [], "lead_hours", {"median_hours": 0.5, "p80_hours": 0.8})
     total = cohort.agg(F.coalesce(F.sum(positive), F.lit(0)).cast("long").alias("n_positive"))
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    return one(part).join(one(ranks), "_one").join(one(total), "_one").drop("_one")
+    return with_row(with_row(part, ranks), total)
 
 
 # --- bootstrap ----------------------------------------------------------------------

@@ -83,14 +83,17 @@ def _interpolated(low: str, high: str, share: str) -> Column:
     )
 
 
-def percentiles(df: DataFrame, keys: list[str], col: str, ps: dict[str, float]) -> DataFrame:
-    """Exact interpolated percentiles per key, one output column per entry of ps.
+def percentiles(df: DataFrame, keys: list[str], col: str, ps: dict[str, float],
+                weight: str | None = None) -> DataFrame:
+    """Exact interpolated percentiles per key, one output column per entry of ps; a
+    weight column says how many rows each row stands for.
 
     Values are counted first, so no task ever holds the values of a whole group.
     """
     counts = (
         df.where(F.col(col).isNotNull())
-        .groupBy(*keys, F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
+        .groupBy(*keys, F.col(col).alias("_v"))
+        .agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     )
     ranked = running_sums(counts, keys, [F.col("_v")], ["_n"])
     aggs = []

@@ -5,64 +5,98 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulsegrid.functions import fixed_values as fv
 from pulsegrid.functions.scalar import plus_hours, split_feature
 from pulsegrid.operators.ordered import percentiles
+from pulsegrid.session import stored
 
 
 def group_share(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Row count per group and its share of all rows."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    """Row count per group and its share of all rows. The counts are stored, so the
+    total comes from them and not from a second pass over the rows."""
+    counts = stored(df.groupBy(*keys).agg(F.count("*").alias("n_rows")), "counts")
     total = counts.agg(F.sum("n_rows")).scalar()
     return counts.withColumn("share", F.col("n_rows") / total)
 
 
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table; nulls where it is empty."""
+    found = row.select(F.struct(*row.columns)).scalar()
+    return df.withColumn("_row", found).select(
+        *df.columns, *[F.col("_row")[c].alias(c) for c in row.columns]
+    )
+
+
 def size_stats(df: DataFrame, key: str) -> DataFrame:
     """Groups and the min, max, mean and exact median of their sizes."""
-    sizes = df.groupBy(key).agg(F.count("*").alias("n"))
-    part = sizes.agg(
-        F.count("*").alias("n_groups"), F.min("n").alias("min_size"),
-        F.max("n").alias("max_size"), F.mean("n").alias("mean_size"),
+    sizes = df.groupBy(key).agg(F.count("*").cast("double").alias("n"))
+    counts = stored(sizes.groupBy("n").agg(F.count("*").alias("w")), "sizes")
+    part = counts.agg(
+        F.sum("w").alias("n_groups"), F.min("n").cast("long").alias("min_size"),
+        F.max("n").cast("long").alias("max_size"),
+        (F.sum(F.col("n") * F.col("w")) / F.sum("w")).alias("mean_size"),
+    )
+    return with_row(part, percentiles(counts, [], "n", {"median_size": 0.5}, weight="w"))
+
+
+def _edges(values: DataFrame, bins: int | None, *extra: Column) -> Column:
+    """(lo, hi, bins, extra...) of the values as one scalar subquery."""
+    lo, hi = F.min("_v"), F.max("_v")
+    n = F.lit(bins) if bins else F.least(F.lit(10), F.count_distinct("_v")).cast("int")
+    flat = lo == hi
+    return values.agg(F.struct(
+        F.when(flat, lo - 0.5).otherwise(lo).alias("lo"),
+        F.when(flat, hi + 0.5).otherwise(hi).alias("hi"), n.alias("bins"), *extra,
+    )).scalar()
+
+
+def _spine(spark, edges: Column) -> DataFrame:
+    """One row per bin with its bounds; no rows when there are no values."""
+    e, width = F.col("_e"), (F.col("_e.hi") - F.col("_e.lo")) / F.col("_e.bins")
+    return spark.range(1).select(edges.alias("_e")).where(F.col("_e.lo").isNotNull()).select(
+        "_e", F.explode(F.sequence(F.lit(0), F.col("_e.bins") - 1)).alias("bin")
+    ).select(
+        "_e", "bin", (e["lo"] + F.col("bin") * width).alias("bin_lo"),
+        (e["lo"] + (F.col("bin") + 1) * width).alias("bin_hi"),
     )
-    middle = percentiles(sizes.withColumn("n", F.col("n").cast("double")), [], "n", {"median_size": 0.5})
-    one = lambda d: d.withColumn("_one", F.lit(1))
-    return one(part).join(one(middle), "_one").drop("_one")
 
 
-def histogram(df: DataFrame, col: str, bins: int | None = 10,
-              lo: Column | None = None, hi: Column | None = None) -> DataFrame:
+def _bin(edges: Column) -> Column:
+    width = (edges["hi"] - edges["lo"]) / edges["bins"]
+    return F.least(F.floor((F.col("_v") - edges["lo"]) / width), edges["bins"] - 1).cast("int")
+
+
+def histogram(df: DataFrame, col: str, bins: int | None = 10) -> DataFrame:
     """Equal-width bins between the extremes, the last one closed, empty bins kept.
 
     bins=None takes 10 or, if fewer, the number of distinct values. A constant
     column is spread half a unit to both sides.
     """
     values = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("_v"))
-    lo = values.agg(F.min("_v")).scalar() if lo is None else lo
-    hi = values.agg(F.max("_v")).scalar() if hi is None else hi
-    n = F.lit(bins)
-    if bins is None:
-        distinct = values.distinct().agg(F.count("*").cast("int")).scalar()
-        n = F.least(F.lit(10), distinct)
-    edges = df.sparkSession.range(1).select(lo.alias("_lo"), hi.alias("_hi"), n.alias("_bins"))
-    flat = F.col("_lo") == F.col("_hi")
-    edges = edges.where(F.col("_lo").isNotNull()).select(
-        F.lit(1).alias("_one"),
-        F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
-        F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"), "_bins",
-    )
-    width = (F.col("_hi") - F.col("_lo")) / F.col("_bins")
-    spine = edges.select(
-        "_lo", width.alias("_w"), F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)).alias("bin")
-    )
-    # the one row of edges is broadcast to every value
-    placed = (
-        values.withColumn("_one", F.lit(1)).join(F.broadcast(edges), "_one")
-        .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .groupBy(F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.col("_bins") - 1)
-                 .cast("int").alias("bin"))
-        .agg(F.count("*").alias("n"))
-    )
-    return spine.join(placed, "bin", "left").select(
-        "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("bin_lo"),
-        (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("bin_hi"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+    edges = _edges(values, bins)
+    placed = values.withColumn("_e", edges).groupBy(_bin(F.col("_e")).alias("bin")).agg(
+        F.count("*").alias("n")
+    )
+    return _spine(df.sparkSession, edges).join(placed, "bin", "left").select(
+        "bin", "bin_lo", "bin_hi", F.coalesce("n", F.lit(0)).alias("n")
+    )
+
+
+def score_drift(a: DataFrame, b: DataFrame, col_a: str, col_b: str, bins: int = 50) -> DataFrame:
+    """Counts and densities of two score columns on shared bins."""
+    side = lambda df, col, is_a: df.where(F.col(col).isNotNull()).select(
+        F.col(col).cast("double").alias("_v"), F.lit(is_a).alias("_a")
+    )
+    values = side(a, col_a, True).unionAll(side(b, col_b, False))
+    edges = _edges(values, bins, F.count_if("_a").alias("a"), F.count_if(~F.col("_a")).alias("b"))
+    placed = values.withColumn("_e", edges).groupBy(_bin(F.col("_e")).alias("bin")).agg(
+        F.count_if("_a").alias("n_a"), F.count_if(~F.col("_a")).alias("n_b")
+    )
+    width = F.col("bin_hi") - F.col("bin_lo")
+    density = lambda n: F.try_divide(
+        F.coalesce(f"n_{n}", F.lit(0)).cast("double"), F.col(f"_e.{n}") * width
+    )
+    return _spine(a.sparkSession, edges).join(placed, "bin", "left").select(
+        "bin", "bin_lo", "bin_hi",
+        F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"),
+        density("a").alias("density_a"), density("b").alias("density_b"),
     )
 
 
@@ -72,17 +106,15 @@ def describe(df: DataFrame, col: str) -> DataFrame:
         F.count(col).alias("n"), F.mean(col).alias("mean"), F.stddev_samp(col).alias("sd"),
         F.min(col).alias("min"), F.max(col).alias("max"),
     )
-    ranks = percentiles(df, [], col, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    one = lambda d: d.withColumn("_one", F.lit(1))
-    return one(part).join(one(ranks), "_one", "left").drop("_one")
+    return with_row(part, percentiles(df, [], col, {"p25": 0.25, "p50": 0.5, "p75": 0.75}))
 
 
 def latency_summary(df: DataFrame, col: str = "avg_latency_ms") -> DataFrame:
-    """p50, p95, p99, mean, min and max, exact and interpolated."""
-    part = df.agg(F.mean(col).alias("mean"), F.min(col).alias("min"), F.max(col).alias("max"))
-    ranks = percentiles(df, [], col, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
-    one = lambda d: d.withColumn("_one", F.lit(1))
-    return one(part).join(one(ranks), "_one", "left").drop("_one")
+    """p50, p95, p99, mean, min and max, exact and interpolated. The window latencies
+    are stored first, as they are read twice."""
+    kept = stored(df.select(col), "latencies")
+    part = kept.agg(F.mean(col).alias("mean"), F.min(col).alias("min"), F.max(col).alias("max"))
+    return with_row(part, percentiles(kept, [], col, {"p50": 0.5, "p95": 0.95, "p99": 0.99}))
 
 
 # --- nulls ---------------------------------------------------------------------------
@@ -171,12 +203,12 @@ def require_gate(cohort: DataFrame, positive: str = "sepsis_label",
         raise ValueError(f"prevalence {row['prevalence']:.4f} is outside {limits}: {row.asDict()}")
 
 
-def late_report(df: DataFrame, ts: str, end: str, delay_hours: float = 1.0) -> DataFrame:
-    """Windows an append-mode stream over this table would still hold back: those
-    ending after the latest event time less the delay."""
-    latest = df.agg(F.max(ts)).scalar()
+def late_report(windows: DataFrame, latest: Column, end: str = "window_end_time",
+                delay_hours: float = 1.0) -> DataFrame:
+    """Windows an append-mode stream would still hold back: those ending after the
+    latest event time less the delay."""
     open_ = F.col(end) > plus_hours(latest, -delay_hours)
-    return df.agg(
+    return windows.agg(
         F.count("*").alias("n_windows"), F.count_if(open_).alias("n_open"),
         F.count_if(~open_).alias("n_emitted"),
     )

@@ -86,25 +86,6 @@ def label_prevalence(df: DataFrame, labels: list[str]) -> DataFrame:
     )
 
 
-def score_drift(a: DataFrame, b: DataFrame, col_a: str, col_b: str, bins: int = 50) -> DataFrame:
-    """Density histograms of two score columns on shared bins."""
-    both = a.select(F.col(col_a).cast("double").alias("_s")).unionAll(
-        b.select(F.col(col_b).cast("double").alias("_s"))
-    )
-    lo, hi = both.agg(F.min("_s")).scalar(), both.agg(F.max("_s")).scalar()
-    left = histogram(a, col_a, bins, lo, hi)
-    right = histogram(b, col_b, bins, lo, hi).select("bin", F.col("n").alias("n_b"))
-    merged = left.withColumnRenamed("n", "n_a").join(right, "bin", "full")
-    width = F.col("bin_hi") - F.col("bin_lo")
-    total_a = a.agg(F.count(col_a)).scalar()
-    total_b = b.agg(F.count(col_b)).scalar()
-    return merged.select(
-        "bin", "bin_lo", "bin_hi", "n_a", "n_b",
-        F.try_divide(F.col("n_a").cast("double"), total_a * width).alias("density_a"),
-        F.try_divide(F.col("n_b").cast("double"), total_b * width).alias("density_b"),
-    )
-
-
 def throughput(df: DataFrame, produced_ms: str, written_ms: str) -> DataFrame:
     """Wall clock from the first produced stamp to the last written one, and rate."""
     span = (F.max(written_ms) - F.min(produced_ms)) / 1000.0

@@ -197,10 +197,11 @@ def pad_sequences(df: DataFrame, n: int, n_features: int, n_labels: int) -> Data
     })
 
 
-def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row per key by the given order, by aggregation and not by sort."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    )
-    return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+def first_by(df: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
+    """The first row per key by time, then by a whole-number column: one hash
+    aggregate with map-side combine, so a hot key costs one row per partition."""
+    order = last_order(ts, tie, [])
+    picked = df.groupBy(*keys).agg(*[
+        F.min_by(c, order).alias(c) for c in df.columns if c not in keys
+    ])
+    return picked.select(*df.columns)

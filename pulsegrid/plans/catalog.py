@@ -311,12 +311,12 @@ def split_roundtrip(spark, sf):
 @query
 def first_stay(spark, sf):
     stays = b.stays(spark, sf)
-    return win.first_by(stays, [KEY], ["intime", "stay_id"])
+    return win.first_by(stays, [KEY], "intime", "stay_id")
 
 
 @query
 def first_stay_join(spark, sf):
-    first = win.first_by(b.stays(spark, sf), [KEY], ["intime", "stay_id"])
+    first = win.first_by(b.stays(spark, sf), [KEY], "intime", "stay_id")
     return b.of_type(b.events(spark, sf), "purchase").join(first, KEY).select(
         "event_id", KEY, "stay_id"
     )
@@ -401,7 +401,7 @@ def baseline_value(spark, sf):
 @query
 def first_rise(spark, sf):
     series = stored(_hourly(spark, sf).select(KEY, "hour", "sofa"))
-    refs = _refs(spark, sf).join(b.spans(spark, sf), KEY)
+    refs = stored(_refs(spark, sf).join(b.spans(spark, sf), KEY))
     base = labels.baseline_value(series, refs, KEY, "hour", "sofa", "intime", "ref_time")
     return labels.first_rise(series, refs.join(base, KEY), KEY, "hour", "sofa", "ref_time")
 
@@ -409,7 +409,7 @@ def first_rise(spark, sf):
 def _labelled_entities(spark, sf):
     series = stored(_hourly(spark, sf).select(KEY, "hour", "sofa"))
     return labels.label_entities(
-        b.spans(spark, sf), series, _refs(spark, sf), KEY, "hour", "sofa", "intime", "ref_time"
+        stored(b.spans(spark, sf)), series, _refs(spark, sf), KEY, "hour", "sofa", "intime", "ref_time"
     )
 
 
@@ -612,9 +612,8 @@ def covered_rows(spark, sf):
 
 @query
 def late_report(spark, sf):
-    table = stored(b.windows(spark, sf).select("window_end_time").withColumn("_k", F.lit(1)))
     latest = b.events(spark, sf).agg(F.max("ts")).scalar()
-    return quality.late_report(table.withColumn("latest", latest), "latest", "window_end_time")
+    return quality.late_report(b.windows(spark, sf), latest)
 
 
 @query
@@ -669,7 +668,7 @@ def score_histogram(spark, sf):
 @query
 def score_drift(spark, sf):
     table = stored(b.scored(spark, sf).select("m1_label_6h", "m2_label_6h"))
-    return report.score_drift(table, table, "m1_label_6h", "m2_label_6h")
+    return quality.score_drift(table, table, "m1_label_6h", "m2_label_6h")
 
 
 @query

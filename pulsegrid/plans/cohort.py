@@ -21,7 +21,7 @@ def first_stays(stays: DataFrame) -> DataFrame:
     """The first stay of each admission, one row per admission."""
     return first_by(
         stays.where(F.col("hadm_id").isNotNull()).select("hadm_id", "intime", "icustay_id"),
-        ["hadm_id"], ["intime", "icustay_id"],
+        ["hadm_id"], "intime", "icustay_id",
     ).select("hadm_id", "icustay_id")
 
 

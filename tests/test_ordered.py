@@ -91,4 +91,5 @@ def test_last_lags_and_sequences(spark):
 
 def test_first_by(spark):
     df = spark.createDataFrame([(1, 5, 2), (1, 3, 9), (1, 3, 8), (2, 1, 1)], "k int, t int, id int")
-    assert rows(win.first_by(df, ["k"], ["t", "id"])) == [(1, 3, 8), (2, 1, 1)]
+    df = df.withColumn("t", F.timestamp_seconds("t"))
+    assert rows(win.first_by(df, ["k"], "t", "id"), "k", "id") == [(1, 8), (2, 1)]

@@ -113,7 +113,7 @@ def test_risk_reports(spark):
     assert np.isclose(s["mean_score_6h"], 0.4)
     made = report.windows_report(p, "k", "alert", ["score_24h"])
     assert rows(made["coverage"], "n_rows", "n_covered") == [(4, 3)]
-    drift = report.score_drift(p, p, "score_6h", "score_6h", 5).toPandas()
+    drift = quality.score_drift(p, p, "score_6h", "score_6h", 5).toPandas()
     assert (drift.n_a == drift.n_b).all() and np.isclose((drift.density_a * (drift.bin_hi - drift.bin_lo)).sum(), 1)
     imp = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", 0.5)], "feature string, importance double")
     assert rows(report.top_importance(imp, 2), "feature", "importance_pct") == [("a", 75.0), ("b", 25.0)]
