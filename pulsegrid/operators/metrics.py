@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulsegrid.functions import fixed_values as fv
 from pulsegrid.functions.scalar import ensemble_mean, hours_between
 from pulsegrid.operators.keys import merge_scores
-from pulsegrid.operators.quality import with_row
 from pulsegrid.operators.ordered import PIECE, percentiles, range_pieces, running_sums
+from pulsegrid.operators.quality import with_row
+from pulsegrid.session import stored
 
 
 def score_counts(df: DataFrame, groups: list[str], y: str, score: str) -> DataFrame:
@@ -202,41 +203,24 @@ def _weights(ids: np.ndarray, counts: np.ndarray, draws: int, salt: int) -> np.n
     return out
 
 
-def _piece_sums(draws: int, seed: int, groups: list[str], carried: bool):
-    """Per group and range piece: weighted totals, or with carried totals the
-    piece's share of both metrics. A piece is worked through in bounded batches,
-    highest score first."""
-    rows_at_once = max(1, 4_000_000 // draws)
-    at = [*groups, PIECE]
-
-    def run(batches):
-        running = {}
-        for pdf in batches:
-            for key, part in pdf.groupby(at, sort=False, dropna=False):
-                for start in range(0, len(part), rows_at_once):
-                    rows = part.iloc[start:start + rows_at_once]
-                    ids = rows["_id"].to_numpy(np.int64)
-                    wp = _weights(ids, rows["pos"].to_numpy(), draws, 2 * seed)
-                    wn = _weights(ids, rows["neg"].to_numpy(), draws, 2 * seed + 1)
-                    if key not in running:
-                        above = [np.zeros(draws), np.zeros(draws)]
-                        if carried:
-                            above = [np.array(rows[c].iloc[0]) for c in ("_cp", "_cn")]
-                        running[key] = [*above, np.zeros(draws), np.zeros(draws)]
-                    state = running[key]
-                    cp, cn = state[0] + np.cumsum(wp, 0), state[1] + np.cumsum(wn, 0)
-                    if carried:
-                        # pairs lost: negatives scored above a positive, ties half
-                        state[2] += (wp * (cn - wn / 2.0)).sum(0)
-                        share = np.divide(cp, cp + cn, out=np.zeros_like(cp), where=(cp + cn) > 0)
-                        state[3] += (wp * share).sum(0)
-                    state[0], state[1] = cp[-1], cn[-1]
-        for key, (cp, cn, lost, prec) in running.items():
-            head = {name: [value] for name, value in zip(at, key)}
-            body = {"_lost": [lost], "_prec": [prec]} if carried else {"_tp": [cp], "_tn": [cn]}
-            yield pd.DataFrame({**head, **body})
-
-    return run
+def _walk(pdf: pd.DataFrame, draws: int, seed: int, tp: np.ndarray, tn: np.ndarray):
+    """Go down one score range in bounded batches, starting from the weighted counts
+    above it: (tp, tn, pairs lost, precision sum) per replica at its lower end."""
+    lost, precision = np.zeros(draws), np.zeros(draws)
+    pdf = pdf.sort_values("score", ascending=False)
+    step = max(1, 4_000_000 // draws)
+    for start in range(0, len(pdf), step):
+        rows = pdf.iloc[start:start + step]
+        ids = rows["_id"].to_numpy(np.int64)
+        pos = _weights(ids, rows["pos"].to_numpy(), draws, 2 * seed)
+        neg = _weights(ids, rows["neg"].to_numpy(), draws, 2 * seed + 1)
+        above_p, above_n = tp + np.cumsum(pos, 0), tn + np.cumsum(neg, 0)
+        seen = above_p + above_n
+        # a negative scored above a positive loses it a pair, one tied with it half
+        lost += (pos * (above_n - neg / 2.0)).sum(0)
+        precision += (pos * np.divide(above_p, seen, out=np.zeros_like(seen), where=seen > 0)).sum(0)
+        tp, tn = above_p[-1], above_n[-1]
+    return tp, tn, lost, precision
 
 
 def bootstrap_replicas(df: DataFrame, groups: list[str], y: str, score: str,
@@ -245,43 +229,52 @@ def bootstrap_replicas(df: DataFrame, groups: list[str], y: str, score: str,
 
     A replica gives each row a Poisson(1) weight, so equal scores together get a
     Poisson(count) weight and rows are counted per score first. Scores are cut into
-    ranges; a first pass leaves one total per range and replica, a second pass adds
-    up each range's share on top of the totals above it. Rows are never multiplied
-    by the number of replicas in a shuffle.
+    ranges, one per task; a first pass leaves one total per range and replica, a second
+    pass adds up each range's share on top of the totals above it. Rows are never
+    multiplied by the number of replicas in a shuffle.
     """
     counts = score_counts(df, groups, y, score).withColumn("_id", F.xxhash64(*groups, "score"))
     pieces = range_pieces(counts, groups, [F.col("score").desc()])
-    in_order = [*groups, PIECE, F.col("score").desc()]
-    ordered = pieces.sortWithinPartitions(*in_order)
-    kinds = ", ".join(f"{n} {t}" for n, t in counts.select(*groups).dtypes)
-    totals = ordered.mapInPandas(
-        _piece_sums(draws, seed, groups, False), f"{kinds}, {PIECE} int, _tp array<double>, _tn array<double>"
-    )
+    at = [*groups, PIECE]
+    kinds = ", ".join(f"{n} {t}" for n, t in pieces.select(*at).dtypes)
+    zero = np.zeros(draws)
+
+    def totals(key, pdf):
+        tp, tn, _, _ = _walk(pdf, draws, seed, zero, zero)
+        return pd.DataFrame([(*key, tp, tn)], columns=[*at, "_tp", "_tn"])
+
+    def shares(key, pdf, carry):
+        _, _, lost, precision = _walk(
+            pdf, draws, seed, np.array(carry["_cp"].iloc[0]), np.array(carry["_cn"].iloc[0])
+        )
+        return pd.DataFrame([(*key, lost, precision)], columns=[*at, "_lost", "_prec"])
+
+    part = stored(pieces.groupBy(*at).applyInPandas(
+        totals, f"{kinds}, _tp array<double>, _tn array<double>"
+    ), "replica-totals")
     # one row per (group, range, replica): as many rows as ranges times replicas
-    each = totals.select(*groups, PIECE, F.posexplode(F.arrays_zip("_tp", "_tn")).alias("replica", "_z"))
-    each = each.select(*groups, PIECE, "replica", F.col("_z._tp").alias("tp"), F.col("_z._tn").alias("tn"))
+    each = part.select(*at, F.posexplode(F.arrays_zip("_tp", "_tn")).alias("replica", "_z"))
+    each = each.select(*at, "replica", F.col("_z._tp").alias("tp"), F.col("_z._tn").alias("tn"))
     every = Window.partitionBy(*groups, "replica")
     before = every.orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
     carry = each.select(
-        *groups, PIECE, "replica",
+        *at, "replica",
         F.coalesce(F.sum("tp").over(before), F.lit(0.0)).alias("cp"),
         F.coalesce(F.sum("tn").over(before), F.lit(0.0)).alias("cn"),
-    ).groupBy(*groups, PIECE).agg(
+    ).groupBy(*at).agg(
         F.sort_array(F.collect_list(F.struct("replica", "cp", "cn"))).alias("_c")
-    ).select(*groups, PIECE, F.col("_c.cp").alias("_cp"), F.col("_c.cn").alias("_cn"))
-    withcarry = pieces.join(carry, [*groups, PIECE]).sortWithinPartitions(*in_order)
-    shares = withcarry.mapInPandas(
-        _piece_sums(draws, seed, groups, True),
-        f"{kinds}, {PIECE} int, _lost array<double>, _prec array<double>",
+    ).select(*at, F.col("_c.cp").alias("_cp"), F.col("_c.cn").alias("_cn"))
+    share = pieces.groupBy(*at).cogroup(carry.groupBy(*at)).applyInPandas(
+        shares, f"{kinds}, _lost array<double>, _prec array<double>"
     )
-    lost = shares.select(
+    summed = share.select(
         *groups, F.posexplode(F.arrays_zip("_lost", "_prec")).alias("replica", "_z")
     ).groupBy(*groups, "replica").agg(
         F.sum("_z._lost").alias("lost"), F.sum("_z._prec").alias("prec")
     )
     full = each.groupBy(*groups, "replica").agg(F.sum("tp").alias("p"), F.sum("tn").alias("n"))
     # draws with one class only have no metric
-    return lost.join(full.where("p > 0 and n > 0"), [*groups, "replica"]).select(
+    return summed.join(full.where("p > 0 and n > 0"), [*groups, "replica"]).select(
         *groups, "replica",
         (1 - F.col("lost") / (F.col("p") * F.col("n"))).alias("auroc"),
         (F.col("prec") / F.col("p")).alias("average_precision"),

@@ -5,15 +5,15 @@ a single task. Here the rows are range-partitioned on (keys, order), so a hot
 key is cut into as many pieces as it needs; each piece is summed on its own, the
 piece totals (one row per piece and key) are accumulated, and added back.
 
-The range-partitioned rows are checkpointed before their piece number is used:
-range bounds come from sampling, and a recomputed sample must not move them.
+The range-partitioned rows are written out together with their piece number before
+it is used: range bounds come from sampling, and a new sample must not move them.
 """
 
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pulsegrid.session import cut
+from pulsegrid.session import stored
 
 PIECE = "_piece"
 
@@ -25,7 +25,7 @@ def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
 def range_pieces(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Add the number of the contiguous (keys, order) range each row lies in."""
     by = [F.col(k) for k in keys] + order
-    return cut(df.repartitionByRange(*by).withColumn(PIECE, F.spark_partition_id()))
+    return stored(df.repartitionByRange(*by).withColumn(PIECE, F.spark_partition_id()), "pieces")
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[Column],

@@ -778,7 +778,7 @@ def bootstrap_ci(spark, sf):
 
 def _training(spark, sf):
     table = stored(b.labelled(spark, sf, TREE_STATS).select(*IDS, *LABELS, *TREE, "n_events"))
-    return stored(win.temporal_features(table, KEY)), stored(b.folds(spark, sf))
+    return win.temporal_features(table, KEY), stored(b.folds(spark, sf))
 
 
 POSITION = ["window_idx", "window_idx_norm", "hours_in_icu"]
@@ -794,7 +794,8 @@ def oof_boosted(spark, sf):
 @query
 def oof_sequence(spark, sf):
     table, folds = _training(spark, sf)
-    filled = labels.fill_and_impute(table.withColumns(fx.freshness(LAST)), folds, KEY, LAST)
+    flagged = stored(table.withColumns(fx.freshness(LAST)))
+    filled = labels.fill_and_impute(flagged, folds, KEY, LAST)
     feats = LAST + [f"{s}_fresh" for s in SIGNALS] + ["window_idx_norm"]
     scores, _ = learn.oof_sequence(stored(filled), folds, KEY, feats, "label_24h", maxIter=10)
     return scores
@@ -802,7 +803,7 @@ def oof_sequence(spark, sf):
 
 @query
 def importance_table(spark, sf):
-    table, _ = _training(spark, sf)
+    table = stored(_training(spark, sf)[0])
     model = learn.fit_final(table, TREE + POSITION, "label_24h", maxIter=5)
     return report.top_importance(learn.importance_table(spark, model))
 

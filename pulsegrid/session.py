@@ -59,15 +59,13 @@ def clear_scratch(spark: SparkSession) -> None:
     root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table that is read more than once to the shared folder, as Parquet, so
-    that every later read prunes columns and none repeats the work."""
+    """Write a table to the shared folder, as Parquet, and go on from there.
+
+    For tables that are read more than once: later reads prune columns and none
+    repeats the work. It also cuts the lineage, and no lost executor takes the rows
+    with it.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
