@@ -24,12 +24,12 @@ PARAGRAPH = re.compile(r"[^\n.!?]{1,200}[\n.!?]*|[\n.!?]+")
 CELLS = 24  # of a fingerprint; a retry has GROWTH times as many
 GROWTH = 4
 WAYS = 3  # cells of a digest, one in each third of the table
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
-    x = x + np.uint64(salt) * _ODD
+    x = x + np.uint64(salt * _ODD & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
     x = (x ^ (x >> np.uint64(27))) * _MIX[1]
     return x ^ (x >> np.uint64(31))
@@ -91,7 +91,7 @@ class Sketches:
             found = np.unique(np.stack([(pure // self.cells).astype(np.uint64), self.keys[pure],
                                         self.count[pure].astype(np.int64).view(np.uint64)], 1), axis=0)
             rows, keys = found[:, 0].astype(np.int64), found[:, 1]
-            self.add(rows, keys, -found[:, 2].view(np.int64).astype(np.int32) if len(found) else 0)
+            self.add(rows, keys, -found[:, 2].copy().view(np.int64).astype(np.int32))
             rows_out.append(rows)
             keys_out.append(keys)
         left = np.flatnonzero((self.count != 0) | (self.keys != 0))

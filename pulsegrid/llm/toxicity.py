@@ -24,14 +24,17 @@ BLANK = 32
 class Params:
     """Bounds of the training sample, and of the model; none depends on the input's size."""
 
-    docs_per_class: int = 3_000  # labelled documents, in hash order
-    windows_per_doc: int = 64  # training windows of one document, in hash order
-    window: int = 8  # words
-    bits: int = 16  # of an n-gram's bucket
+    docs_per_class: int = 2_500  # labelled documents, in hash order
+    windows_per_doc: int = 256  # training windows of one document, drawn by its id
+    window: int = 2  # words
+    bits: int = 17  # of an n-gram's bucket
     dim: int = 8
-    epochs: int = 6  # before and after toxic documents' windows are relabelled
-    batch: int = 2048
-    rate: float = 0.5
+    steps: int = 120
+    warm_steps: int = 40  # with each document's label on all of its windows
+    relabel_every: int = 10
+    toxic_windows: int = 6  # of one toxic document that count, once the model finds them toxic
+    rate: float = 0.05
+    decay: float = 1e-6
     seed: int = 7
 
 
@@ -119,65 +122,57 @@ def worst_windows(model: Model, values: list[str]) -> tuple[np.ndarray, np.ndarr
     return worst, n_words
 
 
-def train_windows(windows: list[str], labels: np.ndarray, groups: np.ndarray,
-                  params: Params) -> tuple[np.ndarray, float]:
+def train_windows(texts: list[str], doc_labels: np.ndarray, params: Params) -> tuple[np.ndarray, float]:
     """Train n-gram vectors and softmax together; each bucket's weight and the bias.
 
-    Every window first has its document's label. Half way, a window of a toxic document that
-    the model finds clean is relabelled, but for the document's worst one.
+    Whole-sample Adam steps; the two classes' softmax rows mirror each other. Every window first
+    has its document's label. Later only the worst windows of a toxic document count as toxic,
+    found anew every few steps, and its others not at all; both classes weigh the same.
     """
     rng = np.random.default_rng(params.seed)
-    buckets, edges, window_words = subwords(windows, params.bits)
-    n_words = np.diff(window_words)
-    word_of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-    window_of_word = np.repeat(np.arange(len(windows)), n_words)
-    gram_window = window_of_word[word_of]
-    weight = 1.0 / (np.diff(edges)[word_of] * n_words[gram_window])
-    gram_at = np.concatenate([[0], np.cumsum(np.bincount(gram_window, minlength=len(windows)))])
-
-    table = 1 << params.bits
-    vectors = rng.normal(0, 0.1, (table, params.dim))
-    softmax = rng.normal(0, 0.5, (params.dim, 2))
-    bias = np.zeros(2)
-    seen = [np.full(x.shape, 1e-3) for x in (vectors, softmax, bias)]
-
-    def step(x: np.ndarray, past: np.ndarray, grad: np.ndarray) -> None:
-        past += grad * grad
-        x -= params.rate * grad / np.sqrt(past)
-
-    def run(target: np.ndarray) -> None:
-        for _ in range(params.epochs):
-            order = rng.permutation(len(windows))
-            for lo in range(0, len(order), params.batch):
-                own = order[lo:lo + params.batch]
-                sizes = gram_at[own + 1] - gram_at[own]
-                at = np.repeat(gram_at[own] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-                row = np.repeat(np.arange(len(own)), sizes)
-                index, share = buckets[at], weight[at]
-                scores = vectors @ softmax
-                logits = np.stack([np.bincount(row, scores[index, c] * share, len(own)) for c in (0, 1)], 1) + bias
-                logits -= logits.max(axis=1, keepdims=True)
-                wrong = np.exp(logits)
-                wrong /= wrong.sum(axis=1, keepdims=True)
-                wrong[np.arange(len(own)), target[own]] -= 1
-                wrong /= len(own)
-                by_gram = np.stack([np.bincount(index, wrong[row, c] * share, table) for c in (0, 1)], 1)
-                to_softmax, to_vectors = vectors.T @ by_gram, by_gram @ softmax.T
-                step(vectors, seen[0], to_vectors)
-                step(softmax, seen[1], to_softmax)
-                step(bias, seen[2], wrong.sum(axis=0))
-
-    def weights() -> tuple[np.ndarray, float]:
-        return vectors @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0])
-
-    run(labels)
-    grams, shift = weights()
-    words = _word_values(grams, buckets, edges)
-    logit = np.bincount(window_of_word, words, len(windows)) / np.maximum(n_words, 1) + shift
-    best = np.full(groups.max() + 1, -np.inf)
-    np.maximum.at(best, groups, logit)
-    run(np.where((labels == 1) & ((logit > 0) | (logit == best[groups])), 1, 0))
-    return weights()
+    vocabulary: dict[str, int] = {}
+    rows = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in text.lower().split()], np.int64)
+            for text in texts]
+    word_ids = np.concatenate(rows)
+    ends = np.cumsum([len(r) for r in rows])
+    starts = [np.arange(end - len(r), end, params.window) for end, r in zip(ends, rows)]
+    groups = np.repeat(np.arange(len(rows)), [len(w) for w in starts])
+    word_at = np.concatenate([*starts, ends[-1:]])
+    labels = doc_labels[groups]
+    buckets, edges, _ = subwords(list(vocabulary), params.bits)
+    grams_of_word, words_of_window = np.diff(edges), np.diff(word_at)
+
+    vectors = rng.normal(0, 0.05, (1 << params.bits, params.dim))
+    toward = rng.normal(0, 0.3, params.dim)  # toxic row of the softmax less the clean one
+    bias = np.zeros(1)
+    state = [(x, np.zeros_like(x), np.zeros_like(x)) for x in (vectors, toward, bias)]
+    toxic = labels == 1
+
+    def logits() -> np.ndarray:
+        scores = vectors @ toward
+        words = np.add.reduceat(scores[buckets], edges[:-1]) / grams_of_word
+        return np.add.reduceat(words[word_ids], word_at[:-1]) / words_of_window + bias[0]
+
+    weight = np.where(toxic, 0.5 / max(toxic.sum(), 1), 0.5 / max((~toxic).sum(), 1))
+    for turn in range(1, params.steps + 1):
+        logit = logits()
+        if turn > params.warm_steps and turn % params.relabel_every == 1:
+            order = np.lexsort((-logit, groups))
+            place = np.empty(len(order), np.int64)
+            first = np.concatenate([[0], np.cumsum([len(w) for w in starts])])
+            place[order] = np.arange(len(order)) - first[groups[order]]
+            counted = toxic & ((place == 0) | ((logit > 0) & (place < params.toxic_windows)))
+            weight = np.where(toxic, counted * 0.5 / counted.sum(), 0.5 / max((~toxic).sum(), 1))
+        wrong = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - toxic) * weight
+        by_word = np.bincount(word_ids, np.repeat(wrong / words_of_window, words_of_window), len(vocabulary))
+        by_gram = np.bincount(buckets, np.repeat(by_word / grams_of_word, grams_of_word), len(vectors))
+        slopes = (np.outer(by_gram, toward) + params.decay * vectors,
+                  vectors.T @ by_gram + params.decay * toward, np.array([wrong.sum()]))
+        for (x, mean, square), slope in zip(state, slopes):
+            mean += 0.1 * (slope - mean)
+            square += 0.01 * (slope * slope - square)
+            x -= params.rate * (mean / (1 - 0.9 ** turn)) / (np.sqrt(square / (1 - 0.99 ** turn)) + 1e-10)
+    return vectors @ toward, float(bias[0])
 
 
 def _calibrate(worst: np.ndarray, n_words: np.ndarray, labels: np.ndarray) -> tuple[float, float, float]:
@@ -202,8 +197,8 @@ def learn(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col:
     """Fit on a bounded sample of the labelled rows that are not held out.
 
     At most docs_per_class documents of either label are taken, in the order of a hash of
-    the id, and at most windows_per_doc of their windows for training; calibration reads
-    those documents whole. With repeated labels the highest counts; null ids and labels do not.
+    the id, and at most windows_per_doc of their windows for training. A quarter of the documents is
+    not trained on; they are read whole to calibrate the score. With repeated labels the highest counts; null ids and labels do not.
     Without rows of both labels the model is constant: the share of toxic rows, or 0.
     """
     known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
@@ -229,20 +224,22 @@ def learn(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col:
                 if len(at) > most:
                     rng = np.random.default_rng(abs(ident) if isinstance(ident, int) else 0)
                     at = sorted(rng.choice(np.array(at), most, replace=False).tolist())
-                out += [(ident, label, " ".join(words[a:a + size])) for a in at]
+                out.append((ident, label, " ".join(w for a in at for w in words[a:a + size])))
             kinds = [batch.column(0).type, pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 3, kinds)], names=["id", "label", "words"])
 
-    # Bounded: 2 * docs_per_class * windows_per_doc windows of `window` words each.
-    rows = (sample.mapInArrow(cut, f"id {column_type(sample, 'id')}, label int, words string")
-            .orderBy("id", "words").toPandas())
-    if rows.empty:
+    # Bounded: 2 * docs_per_class rows of windows_per_doc * window words each.
+    aside = F.pmod(F.xxhash64("id", F.lit("aside")), F.lit(4)) == 0
+    rows = (sample.where(~aside).mapInArrow(cut, f"id {column_type(sample, 'id')}, label int, words string")
+            .where("words <> ''").orderBy("id", "words").toPandas())
+    if rows["label"].nunique() < 2:
         return Model(empty, 0.0, 0.0, 0.0, 0.0, size, counts[1] / sum(counts.values()))
-    groups = rows["id"].astype("category").cat.codes.to_numpy().astype(np.int64)
-    grams, bias = train_windows(rows["words"].tolist(), rows["label"].to_numpy().astype(np.int64), groups, params)
+    grams, bias = train_windows(rows["words"].tolist(), rows["label"].to_numpy().astype(np.int64), params)
     raw = Model(grams.astype(np.float32), bias, 1.0, 0.0, 0.0, size)
-    fit = worst_table(sample, raw, keep=["label"]).orderBy("id").toPandas()
+    fit = worst_table(sample.withColumn("aside", aside), raw, keep=["label", "aside"]).orderBy("id", "worst").toPandas()
+    if fit.loc[fit["aside"], "label"].nunique() == 2:
+        fit = fit[fit["aside"]]
     slope, length_slope, offset = _calibrate(
         fit["worst"].to_numpy(), fit["n_words"].to_numpy(), fit["label"].to_numpy().astype(float))
     return Model(raw.grams, bias, slope, length_slope, offset, size)
