@@ -206,7 +206,7 @@ def _shared(rows: DataFrame, percent: int) -> DataFrame:
 
     Only pairs whose sizes allow a link meet.
     """
-    left = rows.select("tok", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"),
+    left = rows.select("tok", "by_df", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"),
                        F.col("often").alias("often_a"), F.col("full").alias("full_a"), F.col("pos").alias("pa"))
     right = rows.select("tok", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"),
                         F.col("often").alias("often_b"), F.col("full").alias("full_b"), F.col("pos").alias("pb"))
@@ -216,11 +216,26 @@ def _shared(rows: DataFrame, percent: int) -> DataFrame:
     out = F.when(F.col("full_a") & F.col("full_b"), 0).otherwise(F.least("often_a", "often_b"))
     return (left.join(right, "tok")
             .where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (most >= need)
+                   & (F.col("by_df") | ~(F.col("full_a") & F.col("full_b")))
                    & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
             .groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("na").alias("na"), F.min("nb").alias("nb"),
                                    F.min(out).alias("out")))
 
 
+def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
+    """Starts of the paths of some classes in the order of frequency among them, the rarest first.
+
+    They are as long as the others, so two similar classes share as many hashes in them.
+    """
+    rows = (sets.select("sig", F.size("path").cast("long").alias("n"), F.explode("path").alias("hash"))
+            .repartition("hash").groupBy("hash", "sig", "n").agg(F.lit(True).alias("by_df"))
+            .withColumn("df", F.count("*").over(Window.partitionBy("hash"))))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 + F.floor(F.col("n") / 20) + 2
+    place = F.row_number().over(Window.partitionBy("sig").orderBy("df", "hash")) - 1
+    return (rows.withColumn("pos", place).where((F.col("pos") < length) & (F.col("df") > 1))
+            .select(F.xxhash64("hash", F.lit("by df")).alias("tok"), "sig", "n", "pos", "df", "by_df"))
+
+
 def link_documents(docs: DataFrame, percent: int = 80, frequent: int = 64, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """Class every document by what it links to: id_col, n_shingles, component_id, n_links.
@@ -235,10 +250,11 @@ def link_documents(docs: DataFrame, percent: int = 80, frequent: int = 64, id_co
     1. Equal sets are one class. Each class sends the start of its path, in the order of
        the hashes: the prefix that a similar set must meet, and some more.
     2. Hashes in more than `frequent` classes are left out of a start that has few enough of
-       them: it is so long that a similar set still shares another hash. Starts with more keep
-       all, and their frequent hashes only meet among themselves.
-    3. Each class is walked against the smallest and the largest class under the same hash. That
-       is linear, and connects groups of copies of any size.
+       them: it is so long that a similar set still shares another hash. Classes with more of them
+       meet each other by their whole paths, in the order of frequency, the rarest first.
+    3. Each class is walked against the most typical class under the same hash, that with the
+       most frequent hashes: of copies of one text it is the text. That is linear, and connects
+       groups of copies of any size.
     4. Classes under one hash that are still in different components are compared in full: all pairs whose
        shared hashes are as many as a link needs.
     """
@@ -251,24 +267,30 @@ def link_documents(docs: DataFrame, percent: int = 80, frequent: int = 64, id_co
     # Frequent hashes of a class, and whether they are too many to leave out.
     often = shared.where(F.col("df") > frequent).groupBy("sig", "n").agg(F.count("*").alias("often"))
     often = stored(often.withColumn("full", F.col("often") > _prefix_slack(F.col("n"), percent)), "often")
-    meet = stored(
-        shared.where(F.col("df") <= frequent).unionByName(
-            shared.where(F.col("df") > frequent)
-            .join(often.where("full").select("sig"), "sig", "left_semi").select(*shared.columns)), "meetings")
-
-    ends = meet.groupBy("tok").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high")
+    full = stored(often.where("full").join(classes.select("sig", "first_id"), "sig").select("sig", "first_id"), "full")
+    by_df = _rare_first(_sets_of(docs, full, id_col, text_col), percent)
+    by_hash = shared.where(F.col("df") <= frequent).withColumn("by_df", F.lit(False))
+    meet = by_hash.unionByName(by_df)
+    # Copies of a text have hashes that it has not; the text itself has but frequent ones.
+    typical = meet.groupBy("sig").agg((F.avg("df") + F.pmod("sig", F.lit(1000)) / 1e6).alias("typical"))
+    meet = stored(meet.join(typical, "sig"), "meetings")
+
+    ends = meet.groupBy("tok").agg(F.max_by("sig", "typical").alias("a"), F.min("sig").alias("low"),
+                                   F.max("sig").alias("high")).where("low <> high").select("tok", "a")
     sizes = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"))
-    stars = (meet.join(ends, "tok").select("sig", "n", F.explode(F.array("low", "high")).alias("a"))
-             .where("a <> sig").groupBy("a", F.col("sig").alias("b")).agg(F.count("*").alias("met"), F.min("n").alias("nb"))
+    stars = (meet.join(ends, "tok").where("a <> sig")
+             .groupBy("a", F.col("sig").alias("b")).agg(F.count("*").alias("met"), F.min("n").alias("nb"))
              # A link shares many hashes; a pair under few may wait for step 4.
              .where(F.col("met") >= F.greatest(F.lit(1), F.floor(F.col("nb") / 80)))
              .join(sizes, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+             .groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+             .agg(F.max_by("a", "met").alias("a"))
+             .select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b")))
     first = stored(stars, "stars-to-check")
     links = _check(docs, first, classes, percent, id_col, text_col)
     found = components(links)
 
-    labelled = (meet.join(found.withColumnRenamed("node", "sig"), "sig", "left")
+    labelled = (meet.drop("typical").join(found.withColumnRenamed("node", "sig"), "sig", "left")
                 .withColumn("comp", F.coalesce("root", "sig")).drop("root")
                 .join(often.select("sig", "often", "full"), "sig", "left")
                 .withColumn("often", F.coalesce("often", F.lit(0).cast("long")))
@@ -276,9 +298,10 @@ def link_documents(docs: DataFrame, percent: int = 80, frequent: int = 64, id_co
     labelled = stored(labelled, "labelled")
     mixed = labelled.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tok")
     slack = F.least(F.floor(F.col("na") / 20), F.floor(F.col("nb") / 20)) + 3
+    checked = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = (_shared(labelled.join(mixed, "tok", "left_semi"), percent)
             .where(F.col("shared") >= F.greatest(F.lit(1), slack - F.col("out"))).select("a", "b")
-            .join(first, ["a", "b"], "left_anti"))
+            .join(checked, ["a", "b"], "left_anti"))
     rest = stored(rest, "pairs-to-check")
     links = stored(links.unionByName(_check(docs, rest, classes, percent, id_col, text_col)), "all-links")
     found = stored(components(links), "components")
