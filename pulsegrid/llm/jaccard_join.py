@@ -207,11 +207,12 @@ def _shared(rows: DataFrame, percent: int) -> DataFrame:
     Only pairs whose sizes allow a link meet.
     """
     left = rows.select("tok", "by_df", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"),
-                       F.col("often").alias("often_a"), F.col("full").alias("full_a"), F.col("pos").alias("pa"))
+                       F.col("often").alias("often_a"), F.col("full").alias("full_a"), F.col("pos").alias("pa"), F.col("known").alias("ka"))
     right = rows.select("tok", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"),
-                        F.col("often").alias("often_b"), F.col("full").alias("full_b"), F.col("pos").alias("pb"))
+                        F.col("often").alias("often_b"), F.col("full").alias("full_b"), F.col("pos").alias("pb"), F.col("known").alias("kb"))
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    most = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    # What may be shared before this hash, and from it on.
+    most = F.least("ka", "kb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     # Hashes that both starts hold but that were left out of one of them.
     out = F.when(F.col("full_a") & F.col("full_b"), 0).otherwise(F.least("often_a", "often_b"))
     return (left.join(right, "tok")
@@ -232,8 +233,10 @@ def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
             .withColumn("df", F.count("*").over(Window.partitionBy("hash"))))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 + F.floor(F.col("n") / 20) + 2
     place = F.row_number().over(Window.partitionBy("sig").orderBy("df", "hash")) - 1
-    return (rows.withColumn("pos", place).where((F.col("pos") < length) & (F.col("df") > 1))
-            .select(F.xxhash64("hash", F.lit("by df")).alias("tok"), "sig", "n", "pos", "df", "by_df"))
+    own = F.count(F.when(F.col("df") == 1, 1)).over(Window.partitionBy("sig"))  # no other class has them
+    return (rows.withColumn("pos", place).withColumn("known", F.col("pos") - own)
+            .where((F.col("pos") < length) & (F.col("df") > 1))
+            .select(F.xxhash64("hash", F.lit("by df")).alias("tok"), "sig", "n", "pos", "known", "df", "by_df"))
 
 
 def link_documents(docs: DataFrame, percent: int = 80, frequent: int = 64, id_col: str = "doc_id",
@@ -269,7 +272,7 @@ def link_documents(docs: DataFrame, percent: int = 80, frequent: int = 64, id_co
     often = stored(often.withColumn("full", F.col("often") > _prefix_slack(F.col("n"), percent)), "often")
     full = stored(often.where("full").join(classes.select("sig", "first_id"), "sig").select("sig", "first_id"), "full")
     by_df = _rare_first(_sets_of(docs, full, id_col, text_col), percent)
-    by_hash = shared.where(F.col("df") <= frequent).withColumn("by_df", F.lit(False))
+    by_hash = shared.where(F.col("df") <= frequent).withColumn("by_df", F.lit(False)).withColumn("known", F.col("pos"))
     meet = by_hash.unionByName(by_df)
     # Copies of a text have hashes that it has not; the text itself has but frequent ones.
     typical = meet.groupBy("sig").agg((F.avg("df") + F.pmod("sig", F.lit(1000)) / 1e6).alias("typical"))
