@@ -4,7 +4,7 @@ No operator here matches all rows of a key with each other. Ranges become equal
 keys first: a day or hour bucket, or a summary row per bucket.
 """
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from pulsegrid.functions import fixed_values as fv
 from pulsegrid.functions.scalar import ceil_hour, plus_hours
@@ -62,7 +62,8 @@ def assign_interval(points: DataFrame, intervals: DataFrame, key: str, point_id:
                     grace_hours: int = fv.INTERVAL_GRACE_HOURS) -> DataFrame:
     """Each point gets one interval of its key: among those covering it (with
     grace at both ends) the one starting nearest, else the nearest start at all.
-    Equal gaps go to the smaller id; ids are whole numbers from 0 to 10^18. Points of keys without intervals drop out.
+    Equal gaps go to the smaller id, of any type. An interval with an open end covers
+    nothing but can be the nearest. Points of keys without intervals drop out.
 
     Per (key, day) a point meets: the intervals that touch that day, of which
     those covering the whole day shrink to the latest started one; and the last
@@ -72,7 +73,7 @@ def assign_interval(points: DataFrame, intervals: DataFrame, key: str, point_id:
     day = lambda c: F.date_trunc("day", c)
     # copies of one interval collapse to the smallest id
     ivs = (
-        intervals.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+        intervals.where(F.col(start).isNotNull())
         .groupBy(key, start, end).agg(F.min(interval_id).alias(interval_id))
         .withColumn("_from", plus_hours(start, -grace_hours))
         .withColumn("_to", plus_hours(end, grace_hours))
@@ -92,6 +93,10 @@ def assign_interval(points: DataFrame, intervals: DataFrame, key: str, point_id:
         F.min_by("_iv", F.struct(-micros(F.col("_iv.start")), F.col("_iv.id"))).alias("_iv")
     )
     partial = touching.where(~whole).select(key, "_day", "_iv")
+    # an open one touches no day, but may be the nearest on the day that it starts
+    partial = partial.unionByName(
+        ivs.where(F.col("_to").isNull()).select(key, day(F.col(start)).alias("_day"), chosen.alias("_iv"))
+    )
 
     starts = ivs.groupBy(key, day(F.col(start)).alias("_day")).agg(
         F.min_by(chosen, F.struct(micros(F.col(start)), F.col(interval_id))).alias("_early"),
@@ -118,18 +123,25 @@ def assign_interval(points: DataFrame, intervals: DataFrame, key: str, point_id:
     candidates = full.unionByName(partial).unionByName(around)
     covered = F.col(ts).between(F.col("_iv.from"), F.col("_iv.to"))
     gap = F.abs(micros(F.col("_iv.start")) - micros(F.col(ts)))
-    # (outside, gap, id) as one number keeps the minimum a hash aggregate
-    ids = F.lit(10**18).cast("decimal(19,0)")
-    far = F.expr(f"CAST({10**37} AS DECIMAL(38,0))")
-    rank = (
-        F.when(covered, F.lit(0).cast("decimal(38,0)")).otherwise(far)
-        + (gap.cast("decimal(19,0)") * ids + F.col("_iv.id").cast("decimal(18,0)"))
-    ).cast("decimal(38,0)")
-    best = pts.join(candidates, [key, "_day"]).groupBy(point_id).agg(F.min(rank).alias("_best"))
+    outside = F.when(covered, 0).otherwise(1)
+    found = pts.join(candidates, [key, "_day"])
+    if isinstance(intervals.schema[interval_id].dataType, T.IntegralType):
+        # (outside, gap, id) as one number keeps the minimum a hash aggregate; ids of
+        # either sign, up to half of 10^18, are shifted to start at 0
+        ids, shift = F.lit(10**18).cast("decimal(19,0)"), F.lit(5 * 10**17).cast("decimal(18,0)")
+        far = F.expr(f"CAST({10**37} AS DECIMAL(38,0))")
+        rank = (
+            F.when(outside == 0, F.lit(0).cast("decimal(38,0)")).otherwise(far)
+            + (gap.cast("decimal(19,0)") * ids + F.col("_iv.id").cast("decimal(18,0)") + shift)
+        ).cast("decimal(38,0)")
+        best = found.groupBy(point_id).agg(F.min(rank).alias("_best"))
+        chosen_id, is_covered = F.col("_best") % ids - shift, F.col("_best") < far
+    else:
+        best = found.groupBy(point_id).agg(F.min(F.struct(outside, gap, F.col("_iv.id"))).alias("_best"))
+        chosen_id, is_covered = F.col("_best.id"), F.col("_best.col1") == 0
     id_type = dict(intervals.dtypes)[interval_id]
     return points.join(best, point_id).select(
-        points["*"], (F.col("_best") % ids).cast(id_type).alias(interval_id),
-        (F.col("_best") < far).alias("covered"),
+        points["*"], chosen_id.cast(id_type).alias(interval_id), is_covered.alias("covered"),
     )
 
 
@@ -182,14 +194,20 @@ def hourly_last(points: DataFrame, key: str, ts: str, value: str, tie: str | Non
 
 
 def asof_fill(grid: DataFrame, points: DataFrame, key: str, ts: str, name: str, value: str,
-              names: list[str], tie: str | None = None) -> DataFrame:
+              names: list[str], tie: str | None = None, since: DataFrame | None = None) -> DataFrame:
     """Give every grid hour, per name, the last value known at or before it.
 
+    `since` (key, since) tells from when on the points of each key count, such as the
+    admission; earlier ones are not carried into the grid.
+
     `points` is long (key, ts, name, value). Points are first reduced to the last one
     per key, name and hour they are known at, so what is carried forward has grid size
     however many points there are. That small table is stored, because the fill reads
     it twice and the points must be read once.
     """
+    if since is not None:
+        first = since.groupBy(key).agg(F.min("since").alias("_since"))
+        points = points.join(first, key).where(F.col(ts) >= F.col("_since")).drop("_since")
     latest = (
         points.where(F.col(value).isNotNull() & F.col(name).isin(names))
         .groupBy(key, ceil_hour(ts).alias("hour"), F.col(name).alias("_name"))

@@ -16,10 +16,11 @@ def last_order(ts: str, tie: str | None, row: list[str]) -> Column:
 
     A decimal is a fixed-width aggregation buffer, so max_by stays a hash
     aggregate; ordering by a struct would make Spark sort every input row.
-    Without a tie column a hash of the row decides, which is still repeatable.
+    A null tie counts as 0. Without a tie column a hash of the row decides, which is
+    still repeatable.
     """
     if tie:
-        second = F.col(tie)
+        second = F.coalesce(F.col(tie), F.lit(0))
     else:
         second = F.pmod(F.xxhash64(*row), F.lit(10**18))
     micros = F.unix_micros(ts).cast("decimal(19,0)")

@@ -37,7 +37,7 @@ def hourly_score(stays: DataFrame, readings: DataFrame, infusion_intervals: Data
     """One row per entity and whole hour of its stay.
 
     `readings` is long: key, ts, role, part, value. Each hour sees the last reading
-    of every role at or before it; the three coma parts count only when charted
+    of every role at or before it, from the admission on; the three coma parts count only when charted
     together.
     """
     grid = hourly_spine(stays, key, "intime", "outtime")
@@ -48,7 +48,8 @@ def hourly_score(stays: DataFrame, readings: DataFrame, infusion_intervals: Data
     points = single.unionByName(summed, allowMissingColumns=True)
     if tie:
         points = points.withColumn(tie, F.coalesce(tie, F.lit(0)))
-    filled = asof_fill(grid, points, key, ts, "role", "value", ROLES, tie)
+    admitted = stays.select(key, F.col("intime").alias("since"))
+    filled = asof_fill(grid, points, key, ts, "role", "value", ROLES, tie, admitted)
     # both kinds of infusion record mark hours, so one join flags the grid
     pressor = hours_covered(infusion_intervals, key, "starttime", "endtime").unionByName(
         hours_marked(infusion_points, key, ts)

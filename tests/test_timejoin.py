@@ -111,3 +111,25 @@ def test_hourly_last_and_parts(spark):
         [(1, at(1), i, 2.0) for i in (1, 2, 3)] + [(1, at(2), 1, 2.0), (1, at(2), 2, 2.0), (1, at(2), 2, 2.0)],
         "k int, t timestamp, p int, v double")
     assert rows(tj.sum_parts(parts, "k", "t", "p", "v")) == [(1, at(1), 6.0)]
+
+
+def test_asof_fill_starts_at_admission(spark):
+    stays = spark.createDataFrame([(1, at(9.5), at(13))], "k int, s timestamp, e timestamp")
+    pts = spark.createDataFrame([(1, 1, at(-90), "a", 1.0), (2, 1, at(9.4), "a", 2.0), (None, 1, at(11), "a", 3.0)],
+                                "id bigint, k int, t timestamp, n string, v double")
+    grid = tj.hourly_spine(stays, "k", "s", "e")
+    since = stays.selectExpr("k", "s AS since")
+    got = [r["a"] for r in tj.asof_fill(grid, pts, "k", "t", "n", "v", ["a"], "id", since).orderBy("hour").collect()]
+    assert got == [None, 3.0, 3.0, 3.0]
+
+
+def test_assign_interval_open_ends_and_ids(spark):
+    ivs = [(-5, 0, at(10), None), (7, 0, at(40), at(50)), (-9, 1, at(0), None)]
+    points = spark.createDataFrame([(1, 0, at(12)), (2, 0, at(45)), (3, 0, at(200)), (4, 1, at(900)), (5, 0, at(9))],
+                                   "pid bigint, k int, t timestamp")
+    want = {1: (-5, False), 2: (7, True), 3: (7, False), 4: (-9, False), 5: (-5, False)}
+    for kind, name in (("bigint", lambda i: i), ("string", str)):
+        i = spark.createDataFrame([(name(a), *rest) for a, *rest in ivs], f"iid {kind}, k int, s timestamp, e timestamp")
+        got = {r["pid"]: (r["iid"], r["covered"]) for r in
+               tj.assign_interval(points, i, "k", "pid", "t", "iid", "s", "e").collect()}
+        assert got == {p: (name(a), c) for p, (a, c) in want.items()}
