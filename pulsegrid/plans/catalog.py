@@ -112,7 +112,7 @@ def freshness(spark, sf):
 
 def _sequences(spark, sf):
     table = stored(b.labelled(spark, sf, ["last"]).select(*IDS, *LABELS, *LAST))
-    return win.sequence_table(table, KEY, LAST, LABELS, 100)
+    return win.sequence_table(table, KEY, LAST, LABELS)
 
 
 @query
@@ -129,7 +129,7 @@ def sequence_table(spark, sf):
 
 @query
 def pad_sequences(spark, sf):
-    padded = win.pad_sequences(_sequences(spark, sf), 120, len(LAST), len(LABELS))
+    padded = win.pad_sequences(_sequences(spark, sf), 320, len(LAST), len(LABELS))
     return padded.select(
         KEY, "seq_len", F.size("x").alias("padded_len"),
         F.size(F.filter("mask", lambda m: m)).alias("n_real"),
@@ -481,9 +481,8 @@ def dedupe(spark, sf):
 
 
 def _two_key_sets(spark, sf):
-    rows = b.events(spark, sf)
-    of = lambda kind: b.of_type(rows, kind).where(F.col("value") > 100).select(KEY)
-    return of("click"), of("error")
+    of = lambda table, column: spark.read.parquet(f"{sf}/{table}.parquet").select(F.col(column).alias(KEY))
+    return of("documents", "doc_id"), of("labels", "doc_id")
 
 
 @query
@@ -771,7 +770,7 @@ def value_ecdf(spark, sf):
 
 @query
 def bootstrap_ci(spark, sf):
-    return metrics.bootstrap_ci(_long(spark, sf), GROUPS, "y", "score", draws=200)
+    return metrics.bootstrap_ci(_long(spark, sf), GROUPS, "y", "score")
 
 
 # --- learners ----------------------------------------------------------------------------------------

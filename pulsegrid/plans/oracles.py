@@ -246,8 +246,8 @@ CTES = {
     "categorised": """
  SELECT *, CASE WHEN gap IS NULL THEN 'D' WHEN gap = 0 OR gap = 21600 THEN 'A'
   WHEN abs(gap) < 60 OR abs(gap - 21600) < 60 THEN 'B' ELSE 'E' END AS category FROM twolabels""",
-    "rich_a": "\n SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND value > 100",
-    "rich_b": "\n SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 100",
+    "rich_a": "\n SELECT DISTINCT doc_id AS user_id FROM documents",
+    "rich_b": "\n SELECT DISTINCT doc_id AS user_id FROM labels",
     "sizes": "\n SELECT user_id, count(*) AS n FROM w GROUP BY user_id",
     "closed": "\n SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events",
 }
@@ -344,13 +344,13 @@ BODIES = {
         f"lag(n_events, {i}) OVER win AS n_events_lag{i}" for i in (1, 2, 3))
         + " FROM w WINDOW win AS (PARTITION BY user_id ORDER BY window_start_time)",
     "freshness": f"SELECT {IDS}, {', '.join(c[:-5] + '_fresh' for c in LAST)} FROM filled",
-    "sequence_table": f"""SELECT user_id, CAST(least(total, 100) AS INTEGER) AS seq_len,
+    "sequence_table": f"""SELECT user_id, CAST(least(total, 300) AS INTEGER) AS seq_len,
  CAST(step AS INTEGER) AS step, window_start_time, {rr(LAST)}, {', '.join(LABELS)}
  FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS total,
   row_number() OVER (PARTITION BY user_id ORDER BY window_start_time) - 1
-   - greatest(count(*) OVER (PARTITION BY user_id) - 100, 0) AS step FROM labelled) WHERE step >= 0""",
-    "pad_sequences": f"""SELECT user_id, CAST(least(count(*), 100) AS INTEGER) AS seq_len, 120 AS padded_len,
- CAST(least(count(*), 100) AS INTEGER) AS n_real,
+   - greatest(count(*) OVER (PARTITION BY user_id) - 300, 0) AS step FROM labelled) WHERE step >= 0""",
+    "pad_sequences": f"""SELECT user_id, CAST(least(count(*), 300) AS INTEGER) AS seq_len, 320 AS padded_len,
+ CAST(least(count(*), 300) AS INTEGER) AS n_real,
  {r("arg_max([click_last], window_start_time)[1]", "last_click")}, CAST(0.0 AS DOUBLE) AS first_click,
  false AS first_real FROM labelled GROUP BY user_id""",
     # cleaning
