@@ -40,7 +40,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# No stage that fits, links or draws can be told in SQL; tests/llm holds run() against brute force.
+# No stage that fits, links or draws can be told in SQL; tests/llm holds each stage against a plain version.
 ORACLE_SQL = None
 
 
