@@ -80,8 +80,8 @@ def _spot(name: str) -> Column:
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """sig and the whole set of the wanted classes (first_id, sig), made anew from the texts.
 
-    A bitmap of fixed size keeps most other texts from being hashed again; the join with the
-    wanted classes drops the rest, so no text is shuffled.
+    A bitmap of fixed size keeps most other texts from being hashed again, so no text is
+    shuffled; the caller's join by sig drops the rest.
     """
     spots = (wanted.select(_spot("first_id").alias("spot"))
              .groupBy(F.expr("bitmap_bucket_number(spot)").alias("bucket"))
@@ -105,8 +105,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                     names=["sig", "path"])
 
     rows = docs.select(_spot(id_col).alias("spot"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(read, "sig long, path array<bigint>")
-    return found.join(wanted.select("sig"), "sig", "left_semi")
+    return rows.mapInArrow(read, "sig long, path array<bigint>")
 
 
 class PathWalk:
@@ -145,17 +144,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, per_task: int = 2
     """Of the pairs (a, b) of classes, those whose sets link.
 
     All partners of a probe are walked together, in parts of about `per_task` when there are more.
+    Sets meet probes and partners in one join, so each is shuffled by sig once.
     """
     counts = pairs.groupBy("a").agg(F.count("*").alias("partners"))
     parts = counts.select("a", F.ceil(F.col("partners") / per_task).alias("parts"))
     split = F.pmod(F.xxhash64("b"), F.col("parts"))
     partners = (pairs.join(parts, "a").withColumn("part", split)
-                .join(sets.withColumnRenamed("sig", "b"), "b").select("a", "part", F.lit(1).alias("kind"), "b", "path"))
-    probes = (parts.join(sets.withColumnRenamed("sig", "a"), "a")
-              .select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
-                      F.lit(0).alias("kind"), F.col("a").alias("b"), "path"))
-    dealt = (probes.unionByName(partners).repartition("a", "part")
-             .sortWithinPartitions("a", "part", "kind", "path").select("a", "kind", "b", "path"))
+                .select("a", "part", F.lit(1).alias("kind"), F.col("b").alias("sig")))
+    probes = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+                          F.lit(0).alias("kind"), F.col("a").alias("sig"))
+    dealt = (probes.unionByName(partners).join(sets, "sig").repartition("a", "part")
+             .sortWithinPartitions("a", "part", "kind", "path").select("a", "kind", F.col("sig").alias("b"), "path"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
@@ -271,7 +270,8 @@ def link_documents(docs: DataFrame, percent: int = 80, frequent: int = 64, id_co
     often = shared.where(F.col("df") > frequent).groupBy("sig", "n").agg(F.count("*").alias("often"))
     often = stored(often.withColumn("full", F.col("often") > _prefix_slack(F.col("n"), percent)), "often")
     full = stored(often.where("full").join(classes.select("sig", "first_id"), "sig").select("sig", "first_id"), "full")
-    by_df = _rare_first(_sets_of(docs, full, id_col, text_col), percent)
+    full_sets = _sets_of(docs, full, id_col, text_col).join(full.select("sig"), "sig", "left_semi")
+    by_df = _rare_first(full_sets, percent)
     by_hash = shared.where(F.col("df") <= frequent).withColumn("by_df", F.lit(False)).withColumn("known", F.col("pos"))
     meet = by_hash.unionByName(by_df)
     # Copies of a text have hashes that it has not; the text itself has but frequent ones.
@@ -326,8 +326,7 @@ def _check(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int,
     """The linked pairs among some pairs of classes, as a written table."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
                     .join(classes, "sig").select("sig", "first_id"), "wanted")
-    sets = stored(_sets_of(docs, wanted, id_col, text_col), "sets")
-    return stored(_verified(pairs, sets, percent), "links")
+    return stored(_verified(pairs, _sets_of(docs, wanted, id_col, text_col), percent), "links")
 
 
 def keep_one(docs: DataFrame, linked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
