@@ -203,11 +203,15 @@ def components(links: DataFrame) -> DataFrame:
 def _shared(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes in different components, with the path starts' hashes that they share.
 
-    Only pairs whose sizes allow a link meet.
+    Only pairs whose sizes allow a link meet. Both sides need the same columns of the same
+    rows, so one shuffle serves them.
     """
+    of_hash = Window.partitionBy("tok")
+    rows = (rows.withColumn("c0", F.min("comp").over(of_hash)).withColumn("c1", F.max("comp").over(of_hash))
+            .where("c0 <> c1").drop("c0", "c1"))
     left = rows.select("tok", "by_df", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"),
                        F.col("often").alias("often_a"), F.col("full").alias("full_a"), F.col("pos").alias("pa"), F.col("known").alias("ka"))
-    right = rows.select("tok", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"),
+    right = rows.select("tok", F.col("by_df").alias("by_df_b"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"),
                         F.col("often").alias("often_b"), F.col("full").alias("full_b"), F.col("pos").alias("pb"), F.col("known").alias("kb"))
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     # What may be shared before this hash, and from it on.
@@ -215,7 +219,7 @@ def _shared(rows: DataFrame, percent: int) -> DataFrame:
     # Hashes that both starts hold but that were left out of one of them.
     out = F.when(F.col("full_a") & F.col("full_b"), 0).otherwise(F.least("often_a", "often_b"))
     return (left.join(right, "tok")
-            .where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & (most >= need)
+            .where((F.col("ca") != F.col("cb")) & (F.col("by_df") == F.col("by_df_b")) & (F.col("a") < F.col("b")) & (most >= need)
                    & (F.col("by_df") | ~(F.col("full_a") & F.col("full_b")))
                    & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
             .groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("na").alias("na"), F.min("nb").alias("nb"),
@@ -299,10 +303,9 @@ def link_documents(docs: DataFrame, percent: int = 80, frequent: int = 64, id_co
                 .withColumn("often", F.coalesce("often", F.lit(0).cast("long")))
                 .withColumn("full", F.coalesce("full", F.lit(False))))
     labelled = stored(labelled, "labelled")
-    mixed = labelled.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tok")
     slack = F.least(F.floor(F.col("na") / 20), F.floor(F.col("nb") / 20)) + 3
     checked = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = (_shared(labelled.join(mixed, "tok", "left_semi"), percent)
+    rest = (_shared(labelled, percent)
             .where(F.col("shared") >= F.greatest(F.lit(1), slack - F.col("out"))).select("a", "b")
             .join(checked, ["a", "b"], "left_anti"))
     rest = stored(rest, "pairs-to-check")
