@@ -20,6 +20,7 @@ from pulsegrid.llm.shingles import shingle_sets
 from pulsegrid.session import stored
 
 SPOTS = 1 << 23  # bits of the filter of candidates: 1 MB, whatever the input
+LANES = 16  # words of 64 bits in a class's parity sketch
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -42,8 +43,23 @@ def _prefix_slack(n: Column, percent: int) -> Column:
     return F.floor(F.ceil(n * percent / 100) / 20) + 2
 
 
+def _parity(own: np.ndarray) -> np.ndarray:
+    """For each of 64 * LANES buckets whether an odd number of the set's hashes fall in it.
+
+    Two sketches differ in as many bits as sets differ in hashes, or fewer: equal hashes cancel out.
+    """
+    odd = np.bincount((own & np.uint64(64 * LANES - 1)).astype(np.int64), minlength=64 * LANES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _least_difference(left: str, right: str) -> Column:
+    """Hashes that two sets differ in, at least, by their parity sketches."""
+    return sum((F.bit_count(F.col(left)[k].bitwiseXOR(F.col(right)[k])) for k in range(1, LANES)),
+               F.bit_count(F.col(left)[0].bitwiseXOR(F.col(right)[0])))
+
+
 def _classes(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n, sig and the path's start of each text; the start once per class and task.
+    """id, n, sig, the path's start and the parity sketch of each text; the last two once per class and task.
 
     `sig` digests the whole set, so equal sets are one class, and copies send no paths.
     """
@@ -57,20 +73,24 @@ def _classes(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
                 sizes = np.array([len(s) for s in sets], np.int64)
                 sigs = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 starts: list[np.ndarray | None] = []
+                sketches: list[np.ndarray | None] = []
                 for own, n, sig in zip(sets, sizes.tolist(), sigs.tolist()):
                     if not n or sig in sent:
                         starts.append(None)
+                        sketches.append(None)
                         continue
                     if len(sent) < 1_000_000:  # else a copy's start is sent again, and dropped later
                         sent.add(sig)
                     starts.append(own[:_prefix(n, percent) + _slack(n)].view(np.int64))
+                    sketches.append(_parity(own))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[part.start:part.stop], pa.array(sizes), pa.array(sigs),
-                     pa.array(starts, pa.list_(pa.int64()))], names=["id", "n", "sig", "start"])
+                     pa.array(starts, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                    names=["id", "n", "sig", "start", "sketch"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = column_type(docs, id_col)
-    return rows.mapInArrow(read, f"id {kind}, n long, sig long, start array<bigint>")
+    return rows.mapInArrow(read, f"id {kind}, n long, sig long, start array<bigint>, sketch array<bigint>")
 
 
 def _spot(name: str) -> Column:
@@ -201,29 +221,34 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components, with the path starts' hashes that they share.
+    """Pairs of classes in different components, with how many hashes of their starts they share and must share.
 
-    Only pairs whose sizes allow a link meet. Both sides need the same columns of the same
+    Only pairs whose sizes and sketches allow a link meet. Both sides need the same columns of the same
     rows, so one shuffle serves them.
     """
     of_hash = Window.partitionBy("tok")
     rows = (rows.withColumn("c0", F.min("comp").over(of_hash)).withColumn("c1", F.max("comp").over(of_hash))
             .where("c0 <> c1").drop("c0", "c1"))
     left = rows.select("tok", "by_df", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"),
-                       F.col("often").alias("often_a"), F.col("full").alias("full_a"), F.col("pos").alias("pa"), F.col("known").alias("ka"))
+                       F.col("often").alias("often_a"), F.col("full").alias("full_a"), F.col("pos").alias("pa"),
+                       F.col("known").alias("ka"), F.col("sketch").alias("sa"))
     right = rows.select("tok", F.col("by_df").alias("by_df_b"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"),
-                        F.col("often").alias("often_b"), F.col("full").alias("full_b"), F.col("pos").alias("pb"), F.col("known").alias("kb"))
+                        F.col("often").alias("often_b"), F.col("full").alias("full_b"), F.col("pos").alias("pb"),
+                        F.col("known").alias("kb"), F.col("sketch").alias("sb"))
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     # What may be shared before this hash, and from it on.
     most = F.least("ka", "kb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    # Hashes that both starts hold but that were left out of one of them.
-    out = F.when(F.col("full_a") & F.col("full_b"), 0).otherwise(F.least("often_a", "often_b"))
+    # In an order that leaves out none, the first hash that a pair shares has all the others behind it.
+    first = (F.col("pa") <= F.col("na") - need) & (F.col("pb") <= F.col("nb") - need)
+    # Else both starts are longer, and hold some that were left out of one of them.
+    slack = F.least(F.floor(F.col("na") / 20), F.floor(F.col("nb") / 20)) + 3
+    asked = F.when(F.col("by_df"), 1).otherwise(F.greatest(F.lit(1), slack - F.least("often_a", "often_b")))
     return (left.join(right, "tok")
             .where((F.col("ca") != F.col("cb")) & (F.col("by_df") == F.col("by_df_b")) & (F.col("a") < F.col("b")) & (most >= need)
-                   & (F.col("by_df") | ~(F.col("full_a") & F.col("full_b")))
-                   & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-            .groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("na").alias("na"), F.min("nb").alias("nb"),
-                                   F.min(out).alias("out")))
+                   & F.when(F.col("by_df"), first).otherwise(~(F.col("full_a") & F.col("full_b")))
+                   & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+                   & (_least_difference("sa", "sb") <= F.col("na") + F.col("nb") - 2 * need))
+            .groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(asked).alias("asked")))
 
 
 def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
@@ -242,6 +267,26 @@ def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
             .select(F.xxhash64("hash", F.lit("by df")).alias("tok"), "sig", "n", "pos", "known", "df", "by_df"))
 
 
+def _stars(meet: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the most typical class under a hash with the others there that could link to it."""
+    ends = meet.groupBy("tok").agg(F.max_by("sig", "typical").alias("a"), F.min("sig").alias("low"),
+                                   F.max("sig").alias("high")).where("low <> high").select("tok", "a")
+    one, other = (classes.select(F.col("sig").alias(sig), F.col("n").alias(n), F.col("sketch").alias(sketch))
+                  for sig, n, sketch in (("a", "na", "sa"), ("b", "nb", "sb")))
+    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+    return (meet.join(ends, "tok").where("a <> sig")
+            .groupBy("a", F.col("sig").alias("b")).agg(F.count("*").alias("met"), F.min("n").alias("size"))
+            # A link shares many hashes; a pair under few may wait for step 4.
+            .where(F.col("met") >= F.greatest(F.lit(1), F.floor(F.col("size") / 80)))
+            .groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+            .agg(F.max_by("a", "met").alias("a"))
+            .select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
+            .join(one, "a").join(other, "b")
+            .where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+                   & (_least_difference("sa", "sb") <= F.col("na") + F.col("nb") - 2 * need))
+            .select("a", "b"))
+
+
 def link_documents(docs: DataFrame, percent: int = 80, frequent: int = 64, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """Class every document by what it links to: id_col, n_shingles, component_id, n_links.
@@ -260,12 +305,16 @@ def link_documents(docs: DataFrame, percent: int = 80, frequent: int = 64, id_co
        meet each other by their whole paths, in the order of frequency, the rarest first.
     3. Each class is walked against the most typical class under the same hash, that with the
        most frequent hashes: of copies of one text it is the text. That is linear, and connects
-       groups of copies of any size.
+       groups of copies of any size. Pairs whose parity sketches differ in more bits than
+       the sets may differ in hashes are not walked, here and below.
     4. Classes under one hash that are still in different components are compared in full: all pairs whose
        shared hashes are as many as a link needs.
     """
     known = stored(_classes(docs, percent, id_col, text_col), "classes")
-    classes = known.where("n > 0").groupBy("sig", "n").agg(F.min("id").alias("first_id"))
+    lanes = [F.max(F.col("sketch")[k]).alias(f"lane{k}") for k in range(LANES)]
+    classes = stored(known.where("n > 0").groupBy("sig", "n").agg(F.min("id").alias("first_id"), *lanes)
+                     .select("sig", "n", "first_id", F.array(*(f"lane{k}" for k in range(LANES))).alias("sketch")),
+                     "distinct-classes")
     rows = (known.where("start is not null").select("sig", "n", F.posexplode("start").alias("pos", "tok"))
             .repartition("tok").groupBy("tok", "sig", "n").agg(F.min("pos").alias("pos"))
             .withColumn("df", F.count("*").over(Window.partitionBy("tok"))).where("df > 1"))
@@ -282,31 +331,17 @@ def link_documents(docs: DataFrame, percent: int = 80, frequent: int = 64, id_co
     typical = meet.groupBy("sig").agg((F.avg("df") + F.pmod("sig", F.lit(1000)) / 1e6).alias("typical"))
     meet = stored(meet.join(typical, "sig"), "meetings")
 
-    ends = meet.groupBy("tok").agg(F.max_by("sig", "typical").alias("a"), F.min("sig").alias("low"),
-                                   F.max("sig").alias("high")).where("low <> high").select("tok", "a")
-    sizes = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"))
-    stars = (meet.join(ends, "tok").where("a <> sig")
-             .groupBy("a", F.col("sig").alias("b")).agg(F.count("*").alias("met"), F.min("n").alias("nb"))
-             # A link shares many hashes; a pair under few may wait for step 4.
-             .where(F.col("met") >= F.greatest(F.lit(1), F.floor(F.col("nb") / 80)))
-             .join(sizes, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-             .groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-             .agg(F.max_by("a", "met").alias("a"))
-             .select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b")))
-    first = stored(stars, "stars-to-check")
-    links = _check(docs, first, classes, percent, id_col, text_col)
+    checked = stored(_stars(meet, classes, percent), "stars-to-check")
+    links = _check(docs, checked, classes, percent, id_col, text_col)
     found = components(links)
-
     labelled = (meet.drop("typical").join(found.withColumnRenamed("node", "sig"), "sig", "left")
                 .withColumn("comp", F.coalesce("root", "sig")).drop("root")
-                .join(often.select("sig", "often", "full"), "sig", "left")
+                .join(often.select("sig", "often", "full"), "sig", "left").join(classes.select("sig", "sketch"), "sig")
                 .withColumn("often", F.coalesce("often", F.lit(0).cast("long")))
                 .withColumn("full", F.coalesce("full", F.lit(False))))
     labelled = stored(labelled, "labelled")
-    slack = F.least(F.floor(F.col("na") / 20), F.floor(F.col("nb") / 20)) + 3
-    checked = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = (_shared(labelled, percent)
-            .where(F.col("shared") >= F.greatest(F.lit(1), slack - F.col("out"))).select("a", "b")
+    checked = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = (_shared(labelled, percent).where("shared >= asked").select("a", "b")
             .join(checked, ["a", "b"], "left_anti"))
     rest = stored(rest, "pairs-to-check")
     links = stored(links.unionByName(_check(docs, rest, classes, percent, id_col, text_col)), "all-links")
