@@ -20,7 +20,7 @@ from pulsegrid.llm.shingles import shingle_sets
 from pulsegrid.session import stored
 
 SPOTS = 1 << 23  # bits of the filter of candidates: 1 MB, whatever the input
-LANES = 16  # words of 64 bits in a class's parity sketch
+LANES = 8  # words of 64 bits in a class's parity sketch
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
