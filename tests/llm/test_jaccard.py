@@ -106,3 +106,14 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in jaccard_join.components(links).collect()}
     assert {v for k, v in got.items() if k < 100} == {0} and got[101] == 100
+
+
+def test_parity_sketches_never_overstate_a_difference():
+    rng = np.random.default_rng(5)
+    for n, edits in ((0, 1), (1, 1), (180, 0), (180, 20), (180, 60), (5000, 900)):
+        own = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        other = np.unique(np.concatenate([own[edits:], rng.integers(0, 1 << 63, edits, dtype=np.uint64)]))
+        bits = jaccard_join._parity(own) ^ jaccard_join._parity(other)
+        least = sum(int(b).bit_count() for b in bits.view(np.uint64))
+        differ = len(np.setxor1d(own, other))
+        assert least <= differ and (least > 0.8 * differ or differ > 100)
