@@ -25,10 +25,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGNED = 6
 
-# Names that announce a credential.
+# Names that announce a credential. `bearer` is also one with blanks alone behind it.
 CONTEXT = re.compile(
-    r"""(?i:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|auth|private)[_-]?key|bearer|credentials?|login)["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*["']?([^\s"'<>,;|]+)""",
+    r"""(?i:(?:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|auth|private)[_-]?key|bearer|credentials?|login)["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*|(?<![a-z])bearer[\x20\t]+)""",
     re.ASCII)
+# Its value: in quotes up to the same quote, which a backslash escapes, or to the end of the line; else one bare word.
+VALUE = re.compile(r""""((?:\\[^\r\n]|[^"\r\n])++)|'((?:\\[^\r\n]|[^'\r\n])++)|([^\s"'<>,;|]++)""")
 
 # Words common in passwords and placeholders, by rank.
 WORDS = """password admin welcome login letmein master dragon monkey shadow sunshine princess
@@ -128,12 +130,26 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     return best[size], segments[::-1]
 
 
+def guess_spans(text: str, least_bits: float) -> list[tuple[int, int, str]]:
+    """Spans of the credential values that cost at least `least_bits`.
+
+    Names are looked for in values that are too cheap as well: in `bearer token: x` both come before x.
+    """
+    spans, covered = [], 0
+    for name in CONTEXT.finditer(text):
+        value = VALUE.match(text, name.end()) if name.end() >= covered else None
+        if value and guess_cost(value[value.lastindex])[0] >= least_bits:
+            spans.append((*value.span(value.lastindex), "guess"))
+            covered = value.end()
+    return spans
+
+
 def find_spans(text: str, least_bits: float) -> list[tuple[int, int, str]]:
     """All spans of a text, by start, then kind as listed; code points, end exclusive."""
     spans = []
     if "=" in text or ":" in text:
         spans += [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[1]) >= LEAST_ASSIGNED]
-        spans += [(*m.span(1), "guess") for m in CONTEXT.finditer(text) if guess_cost(m[1])[0] >= least_bits]
+    spans += guess_spans(text, least_bits)
     if "AKIA" in text:
         spans += [(*m.span(), "access") for m in ACCESS.finditer(text)]
     spans += [(*m.span(), "hex") for m in HEX.finditer(text)]

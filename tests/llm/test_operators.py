@@ -102,6 +102,24 @@ def test_secrets(spark):
     assert secret_scan.redact_secrets(docs).columns == docs.columns and masked[90].text is None
 
 
+def test_whole_credential_values(spark):
+    """Values in quotes end at their quote, whatever is inside; bearer needs no separator."""
+    jwt = "eyJhbGciOiJIUzI1NiJ9.Zk8qLw93vbT2xYp0"
+    values = {'password: "{}"': 'Xk9!,vT2#qLm8;Rw4$z', 'passphrase = "{}" ok': "correct horse battery staple orbit",
+              "Authorization: Bearer {}": jwt, '{{"Authorization": "Bearer {}"}}': jwt, "bearer token: {}": "Zk8qLw93vbT2xYp0",
+              "token='{}'": r"a <b> | \' c \" d, Qz", 'pwd="{}\nnext line': "no end, but the line's", "login => {}, x": "Zk8qLw93vbT2xYp0"}
+    texts = [form.format(value) for form, value in values.items()]
+    docs = odd_docs(spark, [*texts, 'password: "hello" or "login": \'\'', "the bearer of a bearer\nQz8kLw93vbT2xYp0"])
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(docs).collect()}
+    masked = {r.doc_id: r.text for r in secret_scan.redact_secrets(docs).collect()}
+    for i, (text, value) in enumerate(zip(texts, values.values())):
+        at = text.index(value)
+        assert f"guess:{at}:{at + len(value)}" in got[i].split(","), text
+        assert "[SECRET]" in masked[i] and value[-6:] not in masked[i]
+    assert got[len(texts)] == got[len(texts) + 1] == ""
+    assert len(secret_scan.find_spans("token=" * 200_000, 36.0)) < 9
+
+
 # 4
 
 def test_packing(spark):
