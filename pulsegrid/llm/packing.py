@@ -6,6 +6,7 @@ length, so no sequence crosses documents and none needs padding.
 """
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +21,12 @@ from pulsegrid.llm.arrow import column_type
 # A sequence id holds the bucket, the task that made it, and its number there.
 BUCKET_BITS, TASK_BITS, NUMBER_BITS = 6, 25, 32
 
+# White space as the encoder's regex has it, and a run of it that is kept from that regex,
+# which gives up when it has to step back over a million of them.
+BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = 100_000
+_RUN = re.compile(f"(?<!{BLANK}){BLANK}{{{LONG_RUN},}}")
+
 
 def binary_lengths(n: int, longest: int = 1024) -> list[int]:
     """Lengths of the pieces of n tokens, longest first.
@@ -43,6 +50,26 @@ def byte_encoder(ranks: str, pattern: str, special: tuple[tuple[str, int], ...])
                              special_tokens=dict(special))
 
 
+def encode_text(encoder, text: str) -> list[int]:
+    """Ids of a whole text, long runs of white space as the pattern would cut them.
+
+    A run is one piece without its last character, which goes with what follows; at the end of the
+    text or before a special string, none of which may hold white space, it is one piece.
+    """
+    if len(text) < LONG_RUN:
+        return encoder.encode(text, allowed_special="all")
+    ids: list[int] = []
+    at, special = 0, tuple(encoder.special_tokens_set)
+    for run in _RUN.finditer(text):
+        start, end = run.span()
+        if end < len(text) and not text.startswith(special, end):
+            end -= 1
+        ids += encoder.encode(text[at:start], allowed_special="all")
+        ids += encoder._core_bpe.encode_single_piece(text[start:end].encode())
+        at = end
+    return ids + encoder.encode(text[at:], allowed_special="all")
+
+
 def pack(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int] | None = None,
          longest: int = 1024, end_id: int = 0, keep_ids: bool = True, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
@@ -65,7 +92,7 @@ def pack(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int] | No
     kinds = [pa.int64()] * 6
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_encoder(ranks, pattern, marks).encode
+        encoder = byte_encoder(ranks, pattern, marks)
         task = TaskContext.get().partitionId()
         if task >> TASK_BITS:
             raise ValueError("too many tasks for a sequence id")
@@ -75,7 +102,7 @@ def pack(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int] | No
             rows: list[tuple[int, ...]] = []
             ids_of: list[np.ndarray] = []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode(text, allowed_special="all") if text else []
+                ids = encode_text(encoder, text) if text else []
                 ids.append(end_id)
                 tokens = np.array(ids, dtype="<u4")
                 start = 0

@@ -139,6 +139,23 @@ def test_packing(spark):
     assert packing.pack(odd_docs(spark, TEXTS).where("false"), **catalog.byte_pieces()).count() == 0
 
 
+def test_long_white_space(spark):
+    """Runs at which the encoder's regex gives up, and what may stand around them."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = catalog.byte_pieces()
+    encoder = packing.byte_encoder(pieces["ranks"], pieces["pattern"], tuple(pieces["special"].items()))
+    n = packing.LONG_RUN
+    for run in (" " * n, "\n" * (n + 1), " \n\t\u3000\x85" * n, "\r\n" * n, " " * (n - 1)):
+        for text in (run, f"x{run}y", f"{run}é!{run} 1", f"a\x1c{run}\x1cb", f"x{run}<|endoftext|>{run}", f"'s{run}'s"):
+            assert packing.encode_text(encoder, text) == whole.encode(text, add_special_tokens=False).ids
+    texts = [f"x{c * 2_000_000}y" for c in " \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.doc_tokens for r in packing.pack(docs, **pieces, keep_ids=False).collect()}
+    assert got == {i: len(whole.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
 # 5
 
 def test_sketches_recover_what_differs():
