@@ -4,7 +4,7 @@ No operator here matches all rows of a key with each other. Ranges become equal
 keys first: a day or hour bucket, or a summary row per bucket.
 """
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsegrid.functions import fixed_values as fv
 from pulsegrid.functions.scalar import ceil_hour, plus_hours
@@ -125,23 +125,10 @@ def assign_interval(points: DataFrame, intervals: DataFrame, key: str, point_id:
     gap = F.abs(micros(F.col("_iv.start")) - micros(F.col(ts)))
     outside = F.when(covered, 0).otherwise(1)
     found = pts.join(candidates, [key, "_day"])
-    if isinstance(intervals.schema[interval_id].dataType, T.IntegralType):
-        # (outside, gap, id) as one number keeps the minimum a hash aggregate; ids of
-        # either sign, up to half of 10^18, are shifted to start at 0
-        ids, shift = F.lit(10**18).cast("decimal(19,0)"), F.lit(5 * 10**17).cast("decimal(18,0)")
-        far = F.expr(f"CAST({10**37} AS DECIMAL(38,0))")
-        rank = (
-            F.when(outside == 0, F.lit(0).cast("decimal(38,0)")).otherwise(far)
-            + (gap.cast("decimal(19,0)") * ids + F.col("_iv.id").cast("decimal(18,0)") + shift)
-        ).cast("decimal(38,0)")
-        best = found.groupBy(point_id).agg(F.min(rank).alias("_best"))
-        chosen_id, is_covered = F.col("_best") % ids - shift, F.col("_best") < far
-    else:
-        best = found.groupBy(point_id).agg(F.min(F.struct(outside, gap, F.col("_iv.id"))).alias("_best"))
-        chosen_id, is_covered = F.col("_best.id"), F.col("_best.col1") == 0
-    id_type = dict(intervals.dtypes)[interval_id]
+    # a struct, as (outside, gap, id) fits no number when ids take all 64 bits
+    best = found.groupBy(point_id).agg(F.min(F.struct(outside, gap, F.col("_iv.id"))).alias("_best"))
     return points.join(best, point_id).select(
-        points["*"], chosen_id.cast(id_type).alias(interval_id), is_covered.alias("covered"),
+        points["*"], F.col("_best.id").alias(interval_id), (F.col("_best.col1") == 0).alias("covered"),
     )
 
 

@@ -133,3 +133,11 @@ def test_assign_interval_open_ends_and_ids(spark):
         got = {r["pid"]: (r["iid"], r["covered"]) for r in
                tj.assign_interval(points, i, "k", "pid", "t", "iid", "s", "e").collect()}
         assert got == {p: (name(a), c) for p, (a, c) in want.items()}
+
+
+def test_assign_interval_keeps_ids_of_64_bits(spark):
+    ends = [-2**63, -2**63 + 1, -10**18 - 1, -7 * 10**17, 5 * 10**17, 7 * 10**17, 10**18 + 1, 2**63 - 2, 2**63 - 1]
+    ivs = [(i, k, at(10), at(20)) for k, i in enumerate(ends)]
+    ivs += [(i, 100 + k, at(10 + k % 2), at(20)) for k in (0, 1) for i in ends]  # equal gaps: the smallest
+    points = [(p, k, at(t)) for p, (k, t) in enumerate((k, t) for k in [*range(len(ends)), 100, 101] for t in (12, 900))]
+    check_assign(spark, points, ivs)
