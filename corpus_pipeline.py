@@ -14,7 +14,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by their shingles, the one with the smallest id stays."""
-    return jaccard_join.keep_one(docs, stored(jaccard_join.link_documents(docs), "near-copies"))
+    return jaccard_join.keep_one(docs, stored(jaccard_join.link_documents(docs, count_links=False), "near-copies"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

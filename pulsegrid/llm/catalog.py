@@ -66,8 +66,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = jaccard_join.link_documents(table(spark, sf_dir, "documents"))
-    return linked.select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"), count_links=False)
+
+
+def op8_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the number of links of each document."""
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +88,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_warc_revisits, op2_chat_round_trip, op3_secret_spans, op4_power_of_two_packing,
     op5_version_fingerprints, op6_toxicity_scores, op7_quality_rules, op8_jaccard_components,
-    op9_pivotal_mix, op10_token_counts)}
+    op8_link_counts, op9_pivotal_mix, op10_token_counts)}
 
 ORACLES = {
     "op1_warc_revisits": """
@@ -124,3 +128,7 @@ ORACLES = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id""",
 }
+
+ORACLES["op8_link_counts"] = ORACLES["op8_jaccard_components"].replace(
+    "SELECT d.doc_id,", "SELECT d.doc_id, coalesce(k.n_links, 0) AS n_links,") + """
+        LEFT JOIN (SELECT a, count(*) AS n_links FROM l WHERE a <> b GROUP BY a) k ON k.a = d.doc_id"""

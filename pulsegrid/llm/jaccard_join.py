@@ -287,13 +287,82 @@ def _stars(meet: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
+def linked_weights(paths: list[np.ndarray], sides: np.ndarray | None, weights: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the sum of the weights of the sets it links with; with sides, of those on the other one.
+
+    Hashes in many sets are counted by a matrix product, the others pair by pair.
+    """
+    size = len(paths)
+    lengths = np.array([len(p) for p in paths], np.int64)
+    _, column, df = np.unique(np.concatenate(paths), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    row = np.repeat(np.arange(size), lengths)[order]  # by hash
+    first = np.cumsum(df) - df
+    shared = np.zeros((size, size), np.float32)  # whole numbers, exact to 2^24
+    few = min(32, size // 14)
+    for count in np.unique(df[(df > 1) & (df <= few)]).tolist():
+        rows = row[first[df == count][:, None] + np.arange(count)]
+        np.add.at(shared.reshape(-1), (rows[:, :, None] * size + rows[:, None, :]).ravel(), np.float32(1))
+    many = np.flatnonzero(df > max(few, 1))
+    for at in range(0, len(many), 2_048):
+        own = many[at:at + 2_048]
+        table = np.zeros((size, len(own)), np.float32)
+        for k, column_of in enumerate(own.tolist()):
+            table[row[first[column_of]:first[column_of] + df[column_of]], k] = 1
+        shared += table @ table.T
+    links = (100 + percent) * shared.astype(np.int64) >= percent * (lengths[:, None] + lengths)
+    if sides is None:
+        np.fill_diagonal(links, False)
+    else:
+        links &= sides[:, None] != sides
+    return links @ weights
+
+
+def _linked(docs: DataFrame, members: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """sig and how many documents of other classes link with it, of all classes (sig, first_id, size) of some components.
+
+    A component (root) is dealt into `blocks`; each two of them, and each with itself, are compared
+    in one place, so that there are rows for sets and blocks but never for pairs.
+    """
+    block = F.pmod(F.xxhash64("sig"), F.col("blocks"))
+    own = (members.withColumn("block", block)
+           .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+           .select("sig", "root", "size", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                   (F.col("block") > F.col("other")).cast("int").alias("side")))
+    dealt = (own.join(_sets_of(docs, members, id_col, text_col), "sig").repartition("root", "low", "high")
+             .sortWithinPartitions("root", "low", "high").select("root", "low", "high", "sig", "size", "side", "path"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(key: tuple[int, int, int], held: dict[int, tuple]) -> pa.RecordBatch:
+            weights, sides, paths = zip(*held.values())
+            found = linked_weights(list(paths), None if key[1] == key[2] else np.array(sides),
+                                   np.array(weights, np.int64), percent)
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(found, pa.int64())],
+                                              names=["sig", "linked"])
+
+        now, held = None, {}
+        for batch in batches:
+            roots, lows, highs, sigs, weights, sides = (batch.column(c).to_pylist() for c in range(6))
+            for at, key in enumerate(zip(roots, lows, highs)):
+                if key != now and held:
+                    yield counted(now, held)
+                    held = {}
+                now = key
+                # copies of a text may come with it
+                held.setdefault(sigs[at], (weights[at], sides[at], batch.column(6)[at].values.to_numpy().view(np.uint64)))
+        if held:
+            yield counted(now, held)
+
+    return dealt.mapInArrow(count, "sig long, linked long").groupBy("sig").agg(F.sum("linked").alias("linked"))
+
+
 def link_documents(docs: DataFrame, percent: int = 80, frequent: int = 64, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
-    """Class every document by what it links to: id_col, n_shingles, component_id, n_links.
+                   text_col: str = "text", count_links: bool = True, per_block: int = 1_000) -> DataFrame:
+    """Class every document by what it links to: id_col, n_shingles, component_id, n_links if `count_links`.
 
     Documents link when 100 times the shingles they share are at least `percent` times those
-    of their union. component_id is the smallest id reachable by links; n_links counts the links
-    found on the way there, which are enough to connect the class, not all there are. Other columns are not kept.
+    of their union. component_id is the smallest id reachable by links; n_links is the number of other
+    documents that this one links with, copies included. Other columns are not kept.
 
     Null and empty texts have no shingles and link with nothing; rows that repeat an id are one
     document's; a null id is never the smallest one unless all of its class are null.
@@ -309,6 +378,8 @@ def link_documents(docs: DataFrame, percent: int = 80, frequent: int = 64, id_co
        the sets may differ in hashes are not walked, here and below.
     4. Classes under one hash that are still in different components are compared in full: all pairs whose
        shared hashes are as many as a link needs.
+    5. Links lie inside components. Where there are two classes they link; in components of more all sets
+       are compared, in blocks of about `per_block` classes.
     """
     known = stored(_classes(docs, percent, id_col, text_col), "classes")
     lanes = [F.max(F.col("sketch")[k]).alias(f"lane{k}") for k in range(LANES)]
@@ -347,16 +418,25 @@ def link_documents(docs: DataFrame, percent: int = 80, frequent: int = 64, id_co
     links = stored(links.unionByName(_check(docs, rest, classes, percent, id_col, text_col)), "all-links")
     found = stored(components(links), "components")
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("n_links"))
-    rooted = (classes.join(found.withColumnRenamed("node", "sig"), "sig", "left")
+    rooted = (classes.drop("sketch").join(found.withColumnRenamed("node", "sig"), "sig", "left")
               .withColumn("root", F.coalesce("root", "sig")))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = rooted.join(least, "root").join(degree, "sig", "left").select("sig", "component_id", "n_links")
     own = known.select("id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
-    return own.join(of_class, "sig", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    wanted = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")]
+    if not count_links:
+        least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        return own.join(rooted.join(least, "root").select("sig", "component_id"), "sig", "left").select(*wanted)
+
+    ids = own.where("n > 0").groupBy("sig", "id").agg(F.count("*").alias("rows"))
+    sizes = ids.groupBy("sig").agg(F.sum(F.when(F.col("id").isNull(), F.col("rows")).otherwise(1)).alias("size"))
+    rooted = rooted.join(sizes, "sig")
+    whole = rooted.groupBy("root").agg(
+        F.min("first_id").alias("component_id"), F.count("*").alias("n_classes"), F.sum("size").alias("n_docs"),
+        F.greatest(F.ceil(F.count("*") / per_block), F.ceil(F.sum("n") / (400 * per_block))).alias("blocks"))
+    of_class = stored(rooted.join(whole, "root"), "components-of-classes")
+    linked = _linked(docs, of_class.where("n_classes > 2"), percent, id_col, text_col)
+    of_class = of_class.join(linked, "sig", "left").select("sig", "component_id", (F.col("size") - 1 + F.when(
+        F.col("n_classes") > 2, F.col("linked")).otherwise(F.col("n_docs") - F.col("size"))).alias("n_links"))
+    return own.join(of_class, "sig", "left").select(*wanted, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _check(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, id_col: str,

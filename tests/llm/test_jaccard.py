@@ -69,6 +69,22 @@ def test_components_equal_all_pairs(spark, frequent):
     assert len({c for _, c in got.values()}) < len(rows) - 20
 
 
+@pytest.mark.parametrize("per_block", [3, 1_000])
+def test_links_are_counted_whole(spark, per_block):
+    rows = list(enumerate(family_texts(1)))
+    rows += [(d + 1_000, t) for d, t in rows[::9]] + [(2_000, None), (2_001, "")]
+    sets = {d: shingles(t) for d, t in rows}
+    want = {d: sum(o != d and bool(s) and 100 * len(s & other) >= 80 * len(s | other) for o, other in sets.items())
+            for d, s in sets.items()}
+    null = (None, rows[0][1], "x")
+    docs = spark.createDataFrame([*((d, t, "x") for d, t in [*rows, rows[0], rows[5]]), null, null], DOCS)
+    for d, s in sets.items():  # two documents without ids
+        want[d] += 2 * (100 * len(s & sets[0]) >= 80 * len(s | sets[0]))
+    got = {r.doc_id: r.n_links for r in jaccard_join.link_documents(docs, per_block=per_block).collect()}
+    assert got == want | {None: want[0]}
+    assert max(want.values()) > 9
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     long = " ".join(f"w{i}" for i in range(300)) * 3
     rows = [(4, None), (3, ""), (2, " \n "), (9, "a b"), (7, "A\tb"), (5, long), (6, long), (6, long), (None, long)]
