@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import (chat, fingerprints, jaccard_join, mixing, packing, quality_rules,
+from pulsegrid.llm import (chat, fingerprints, jaccard_join, mixing, packing, piece_table, quality_rules,
                            secret_scan, token_counts, toxicity, warc)
 from pulsegrid.session import scratch_path
 
@@ -85,10 +85,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arranged = piece_table.fill_in_middle(table(spark, sf_dir, "documents"))
+    return piece_table.restore_middle(arranged).drop("text")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc_revisits, op2_chat_round_trip, op3_secret_spans, op4_power_of_two_packing,
     op5_version_fingerprints, op6_toxicity_scores, op7_quality_rules, op8_jaccard_components,
-    op8_link_counts, op9_pivotal_mix, op10_token_counts)}
+    op8_link_counts, op9_pivotal_mix, op10_token_counts,
+    op12_fill_in_middle)}
 
 ORACLES = {
     "op1_warc_revisits": """
@@ -127,6 +133,25 @@ ORACLES = {
         c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id""",
+    "op12_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+            FROM documents),
+        l AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u,
+                CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+        c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a,
+                greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100
+                    THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM l),
+        p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid,
+                array_to_string(u[b + 1:], '') AS suf FROM c)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+               CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                      ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p""",
 }
 
 ORACLES["op8_link_counts"] = ORACLES["op8_jaccard_components"].replace(
