@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import (chat, fingerprints, jaccard_join, mixing, packing, piece_table, quality_rules,
+from pulsegrid.llm import (chat, filter_audit, fingerprints, jaccard_join, mixing, packing, piece_table, quality_rules,
                            secret_scan, token_counts, toxicity, warc)
 from pulsegrid.session import scratch_path
 
@@ -90,11 +90,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_table.restore_middle(arranged).drop("text")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc_revisits, op2_chat_round_trip, op3_secret_spans, op4_power_of_two_packing,
     op5_version_fingerprints, op6_toxicity_scores, op7_quality_rules, op8_jaccard_components,
     op8_link_counts, op9_pivotal_mix, op10_token_counts,
-    op12_fill_in_middle)}
+    op12_fill_in_middle, op13_filter_audit)}
 
 ORACLES = {
     "op1_warc_revisits": """
@@ -152,6 +156,38 @@ ORACLES = {
                       ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
                sha256(t) AS restored_sha256
         FROM p""",
+    "op13_filter_audit": r"""
+        WITH g AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic
+            FROM labels GROUP BY doc_id),
+        t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+                 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'),
+                 coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f
+            FROM t LEFT JOIN g USING (doc_id)),
+        c AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+        x AS (SELECT unnest(range(1, 6)) AS i),
+        o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e
+              WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        s AS (SELECT part, o, x.i AS step, o[x.i] AS own, n, good, toxic, f[o[x.i]] AS fails,
+                list_bool_or(list_transform(o[1:x.i - 1], lambda k: f[k])) IS TRUE AS gone,
+                len(list_filter(f, lambda v: v)) = 1 AS single
+              FROM c, o, x),
+        r AS (SELECT part, o, step, own,
+                sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept,
+                sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant,
+                sum(CASE WHEN fails AND single THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN NOT gone AND fails THEN good ELSE 0 END) AS good_lost,
+                sum(CASE WHEN NOT gone AND fails THEN toxic ELSE 0 END) AS toxic_lost
+              FROM s GROUP BY ALL)
+        SELECT part, array_to_string(list_transform(o, lambda k: 'ABCDE'[k]), '') AS filter_order, CAST(step AS INT) AS step,
+               CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+               CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM r""",
 }
 
 ORACLES["op8_link_counts"] = ORACLES["op8_jaccard_components"].replace(
