@@ -4,8 +4,8 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import (chat, filter_audit, fingerprints, jaccard_join, mixing, packing, piece_table, quality_rules,
-                           secret_scan, token_counts, toxicity, warc)
+from pulsegrid.llm import (chat, config_packing, filter_audit, fingerprints, jaccard_join, mixing, packing,
+                           piece_table, quality_rules, secret_scan, token_counts, toxicity, warc)
 from pulsegrid.session import scratch_path
 
 
@@ -85,6 +85,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = config_packing.pack_best_fit(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     arranged = piece_table.fill_in_middle(table(spark, sf_dir, "documents"))
     return piece_table.restore_middle(arranged).drop("text")
@@ -98,7 +106,7 @@ QUERIES = {f.__name__: f for f in (
     op1_warc_revisits, op2_chat_round_trip, op3_secret_spans, op4_power_of_two_packing,
     op5_version_fingerprints, op6_toxicity_scores, op7_quality_rules, op8_jaccard_components,
     op8_link_counts, op9_pivotal_mix, op10_token_counts,
-    op12_fill_in_middle, op13_filter_audit)}
+    op11_best_fit_packing, op12_fill_in_middle, op13_filter_audit)}
 
 ORACLES = {
     "op1_warc_revisits": """
