@@ -20,7 +20,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -34,8 +33,9 @@ RATE = 1.0  # weight of a length: exp(RATE * share not covered)
 COVERED = 0.02  # a length is left to rounding from this share on
 # Fixed value: ranks take so many bits beside the length.
 RANK_BITS = 48
-# Words of ASCII and of Latin letters that are one character each, whatever the normalisation, and have one small letter.
-PLAIN_WORD = re.compile("[\x00-\x7f\u00c0-\u012f\u0131-\u017f]*").fullmatch
+# ASCII and Latin letters that are one character each, whatever the normalisation, and have one small letter.
+PLAIN = re.compile("[\x00-\x7f\u00c0-\u012f\u0131-\u017f]*").fullmatch
+SMALL_LETTERS = "".join(c for c in map(chr, range(0x180)) if c.isalpha() and c.islower() and PLAIN(c))
 # Words that a generation of a worker's memory holds, and their longest. It bounds memory only.
 REMEMBERED, REMEMBERED_BYTES = 300_000, 48
 
@@ -204,12 +204,12 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordIds:
-    """Little-endian 32-bit ids of whole texts, as bytes, word by word.
+    """Little-endian 32-bit ids of whole texts, as bytes, piece by piece.
 
     For tokenizers that lower the text, drop white space and cut pieces by a pattern before they look them
-    up: no piece reaches over a blank, so a word has the ids that it has in its text, special strings
-    included. Words of PLAIN_WORD are cut here and only their pieces go to the tokenizer's model, as
-    normalisation changes nothing but their case; other words go through the whole tokenizer.
+    up. Texts of plain letters are cut here, as normalisation changes nothing but their case, and only
+    the pieces go to the tokenizer's model. In other texts each word goes through the whole tokenizer: no
+    piece reaches over a blank, so a word has the ids that it has in its text, special strings included.
     """
 
     def __init__(self, path: str):
@@ -224,7 +224,10 @@ class WordIds:
             raise ValueError("a tokenizer of another kind")
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t["content"] for t in form["added_tokens"])
-        self.cut = regex.compile(split["pattern"]["Regex"]).findall
+        pattern = split["pattern"]["Regex"]
+        for kind, chars in ((r"\p{L}", SMALL_LETTERS), (r"\p{N}", "0-9"), (r"\s", "\t-\r ")):
+            pattern = pattern.replace(kind, chars)
+        self.cut = re.compile(pattern).findall
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.words, self.pieces = Memory(self._word), Memory(self._piece)
 
@@ -233,13 +236,14 @@ class WordIds:
         return array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if PLAIN_WORD(text) and not any(mark in text for mark in self.special):
-            return b"".join([self.pieces[piece] for piece in self.cut(text.lower())])
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
-    def __call__(self, text: bytes) -> bytes:
-        return b"".join([self.words[word] for word in text.split()])
+    def __call__(self, text: str) -> bytes:
+        if PLAIN(text) and not any(mark in text for mark in self.special):
+            pieces = self.pieces
+            return b"".join([pieces[piece] for piece in self.cut(text.lower())])
+        words = self.words
+        return b"".join([words[word] for word in text.encode().split()])
 
 
 @lru_cache(maxsize=2)
@@ -255,14 +259,14 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, keep
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode: Callable[[bytes], bytes] = word_ids(tokenizer)
+        encode: Callable[[str], bytes] = word_ids(tokenizer)
         task, placed = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             at: list[int] = []
             rows: list[tuple[int, ...]] = []
             cuts: list[np.ndarray] = []
-            for row, text in enumerate(batch.column(1).cast(pa.binary())):
-                ids = memoryview(encode(text.as_py() or b"") + end)
+            for row, text in enumerate(batch.column(1)):
+                ids = memoryview(encode(text.as_py() or "") + end)
                 tokens = len(ids) // 4
                 for piece, start in enumerate(range(0, tokens, capacity)):
                     length = min(capacity, tokens - start)

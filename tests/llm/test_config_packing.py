@@ -97,14 +97,15 @@ def test_cover_is_fractional_and_kept():
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(LETTERS), max_size=20).map("".join))
 def test_ids(text):
-    assert np.frombuffer(cp.word_ids(VOCABULARY)(text.encode()), "<u4").tolist() == whole_ids(text)
+    assert np.frombuffer(cp.word_ids(VOCABULARY)(text), "<u4").tolist() == whole_ids(text)
 
 
 def test_memory_forgets(monkeypatch):
     monkeypatch.setattr(cp, "REMEMBERED", 3)
     ids = cp.WordIds(VOCABULARY)
-    text = " ".join(f"word{i % 7}x é{i % 5}" for i in range(90)) + " " + "long" * 50
-    assert np.frombuffer(ids(text.encode()), "<u4").tolist() == whole_ids(text)
+    for odd in ("", "日"):
+        text = " ".join(f"word{i % 7}x é{i % 5}{odd}" for i in range(90)) + " " + "long" * 50
+        assert np.frombuffer(ids(text), "<u4").tolist() == whole_ids(text)
     assert max(len(ids.words), len(ids.words.older), len(ids.pieces)) <= 3
 
 
@@ -160,5 +161,5 @@ def test_long_text(spark):
     text = "word " * 1_000_000 + "x" * 200_000 + " tail" * 1_000_000
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = cp.pack_best_fit(docs, VOCABULARY, keep_ids=False).toPandas()
-    tokens = len(cp.word_ids(VOCABULARY)(text.encode())) // 4 + 1
+    tokens = len(cp.word_ids(VOCABULARY)(text)) // 4 + 1
     assert tokens > 2_000_000 and got["length"].sum() == tokens and got["sequence_id"].nunique() == -(-tokens // 4096)
