@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pulsegrid.functions import fixed_values as fv
 from pulsegrid.functions.scalar import ceil_hour, plus_hours
 from pulsegrid.operators.blocks import grid_forward_fill
+from pulsegrid.operators.sweep import nearest_intervals
 from pulsegrid.operators.windows import last_order
 from pulsegrid.session import stored
 
@@ -57,79 +58,25 @@ def pair_events(a: DataFrame, b: DataFrame, key: str, ts: str,
 
 # --- intervals --------------------------------------------------------------------
 
-def assign_interval(points: DataFrame, intervals: DataFrame, key: str, point_id: str, ts: str,
+def assign_interval(points: DataFrame, intervals: DataFrame, key: str, ts: str,
                     interval_id: str, start: str, end: str,
-                    grace_hours: int = fv.INTERVAL_GRACE_HOURS) -> DataFrame:
+                    grace_hours: int = fv.INTERVAL_GRACE_HOURS, max_gap_hours: float | None = None,
+                    block_hours: int = 6) -> DataFrame:
     """Each point gets one interval of its key: among those covering it (with
     grace at both ends) the one starting nearest, else the nearest start at all.
     Equal gaps go to the smaller id, of any type. An interval with an open end covers
-    nothing but can be the nearest. Points of keys without intervals drop out.
+    nothing but can be the nearest. Points of keys without intervals drop out, as do
+    null keys and times; points need no id and repeated ones stay repeated. With `max_gap_hours`
+    a point that no interval covers only takes a start at most so far away, and drops out else.
 
-    Per (key, day) a point meets: the intervals that touch that day, of which
-    those covering the whole day shrink to the latest started one; and the last
-    start before and the first start after that day.
+    Adds interval_id and covered to the points. Points and intervals of a key meet in blocks of
+    `block_hours`, where a sweep in the order of time takes the place of pairs.
     """
-    micros = lambda c: F.unix_micros(c)
-    day = lambda c: F.date_trunc("day", c)
-    # copies of one interval collapse to the smallest id
-    ivs = (
-        intervals.where(F.col(start).isNotNull())
-        .groupBy(key, start, end).agg(F.min(interval_id).alias(interval_id))
-        .withColumn("_from", plus_hours(start, -grace_hours))
-        .withColumn("_to", plus_hours(end, grace_hours))
-    )
-    chosen = F.struct(
-        F.col(start).alias("start"), F.col("_from").alias("from"),
-        F.col("_to").alias("to"), F.col(interval_id).alias("id"),
-    )
-    touching = ivs.where(F.col("_to") >= F.col("_from")).select(
-        key, chosen.alias("_iv"),
-        F.explode(F.sequence(day(F.col("_from")), day(F.col("_to")), F.expr("interval 1 day"))).alias("_day"),
-    )
-    whole = (F.col("_iv.start") <= F.col("_day")) & (
-        F.col("_iv.to") >= F.col("_day") + F.expr("interval 1 day")
-    )
-    full = touching.where(whole).groupBy(key, "_day").agg(
-        F.min_by("_iv", F.struct(-micros(F.col("_iv.start")), F.col("_iv.id"))).alias("_iv")
-    )
-    partial = touching.where(~whole).select(key, "_day", "_iv")
-    # an open one touches no day, but may be the nearest on the day that it starts
-    partial = partial.unionByName(
-        ivs.where(F.col("_to").isNull()).select(key, day(F.col(start)).alias("_day"), chosen.alias("_iv"))
-    )
-
-    starts = ivs.groupBy(key, day(F.col(start)).alias("_day")).agg(
-        F.min_by(chosen, F.struct(micros(F.col(start)), F.col(interval_id))).alias("_early"),
-        F.min_by(chosen, F.struct(-micros(F.col(start)), F.col(interval_id))).alias("_late"),
-    )
-    pts = points.withColumn("_day", day(F.col(ts)))
-    days = starts.unionByName(
-        pts.select(key, "_day").distinct(), allowMissingColumns=True
-    ).groupBy(key, "_day").agg(
-        F.first("_early", ignorenulls=True).alias("_early"),
-        F.first("_late", ignorenulls=True).alias("_late"),
-    )
-    by_day = Window.partitionBy(key).orderBy("_day")
-    around = days.select(
-        key, "_day", "_early", "_late",
-        F.last("_late", ignorenulls=True)
-        .over(by_day.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev"),
-        F.first("_early", ignorenulls=True)
-        .over(by_day.rowsBetween(1, Window.unboundedFollowing)).alias("_next"),
-    ).select(
-        key, "_day", F.explode(F.array("_prev", "_next")).alias("_iv")
-    ).where(F.col("_iv").isNotNull())
-
-    candidates = full.unionByName(partial).unionByName(around)
-    covered = F.col(ts).between(F.col("_iv.from"), F.col("_iv.to"))
-    gap = F.abs(micros(F.col("_iv.start")) - micros(F.col(ts)))
-    outside = F.when(covered, 0).otherwise(1)
-    found = pts.join(candidates, [key, "_day"])
-    # a struct, as (outside, gap, id) fits no number when ids take all 64 bits
-    best = found.groupBy(point_id).agg(F.min(F.struct(outside, gap, F.col("_iv.id"))).alias("_best"))
-    return points.join(best, point_id).select(
-        points["*"], F.col("_best.id").alias(interval_id), (F.col("_best.col1") == 0).alias("covered"),
-    )
+    found = nearest_intervals(points, intervals, key, ts, interval_id, start, end,
+                              grace_hours * 3_600_000_000, block_hours)
+    if max_gap_hours is not None:
+        found = found.where(F.col("covered") | (F.col("_gap") <= F.lit(int(max_gap_hours * 3_600_000_000))))
+    return found.drop("_gap")
 
 
 def hours_covered(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:

@@ -332,7 +332,7 @@ def pair_events(spark, sf):
 def assign_interval(spark, sf):
     points = b.of_type(b.events(spark, sf), "purchase").select("event_id", KEY, "ts")
     return timejoin.assign_interval(
-        points, b.stays(spark, sf), KEY, "event_id", "ts", "stay_id", "intime", "outtime"
+        points, b.stays(spark, sf), KEY, "ts", "stay_id", "intime", "outtime"
     )
 
 

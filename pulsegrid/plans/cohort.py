@@ -69,15 +69,9 @@ def stream_events(chart: DataFrame, labs: DataFrame, stays: DataFrame,
         drop_incomplete(keep_ids(chart, cohort, "icustay_id"), ["icustay_id", "valuenum"]),
         code_dimension(spark, ["carevue", "metavision"]), "itemid",
     ).withColumn("valuenum", convert_units("valuenum", "itemid"))
-    coded = map_codes(
-        drop_incomplete(labs, ["hadm_id", "charttime", "valuenum"]),
-        code_dimension(spark, ["labevents"]), "itemid",
-    ).withColumn("_row", F.monotonically_increasing_id())
-    # the row number must not change between the two uses of `coded`
-    coded = stored(coded, "coded-labs")
-    placed = assign_interval(
-        coded, kept, "hadm_id", "_row", "charttime", "icustay_id", "intime", "outtime"
-    )
+    own_labs = keep_ids(drop_incomplete(labs, ["hadm_id", "charttime", "valuenum"]), kept, "hadm_id")
+    coded = map_codes(own_labs, code_dimension(spark, ["labevents"]), "itemid")
+    placed = assign_interval(coded, kept, "hadm_id", "charttime", "icustay_id", "intime", "outtime")
     cols = ["icustay_id", "charttime", "signal_name", "valuenum"]
     both = vitals.select(*cols, F.lit("chartevents").alias("source_table")).unionByName(
         placed.select(*cols, F.lit("labevents").alias("source_table"))

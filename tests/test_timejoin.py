@@ -48,7 +48,7 @@ def brute_assign(points, ivs, grace=6):
 def check_assign(spark, points, ivs):
     p = spark.createDataFrame(points, "pid bigint, k int, t timestamp")
     i = spark.createDataFrame(ivs, "iid bigint, k int, s timestamp, e timestamp")
-    got = tj.assign_interval(p, i, "k", "pid", "t", "iid", "s", "e")
+    got = tj.assign_interval(p, i, "k", "t", "iid", "s", "e")
     assert rows(got, "pid", "iid", "covered") == brute_assign(points, ivs)
 
 
@@ -131,7 +131,7 @@ def test_assign_interval_open_ends_and_ids(spark):
     for kind, name in (("bigint", lambda i: i), ("string", str)):
         i = spark.createDataFrame([(name(a), *rest) for a, *rest in ivs], f"iid {kind}, k int, s timestamp, e timestamp")
         got = {r["pid"]: (r["iid"], r["covered"]) for r in
-               tj.assign_interval(points, i, "k", "pid", "t", "iid", "s", "e").collect()}
+               tj.assign_interval(points, i, "k", "t", "iid", "s", "e").collect()}
         assert got == {p: (name(a), c) for p, (a, c) in want.items()}
 
 
@@ -141,3 +141,44 @@ def test_assign_interval_keeps_ids_of_64_bits(spark):
     ivs += [(i, 100 + k, at(10 + k % 2), at(20)) for k in (0, 1) for i in ends]  # equal gaps: the smallest
     points = [(p, k, at(t)) for p, (k, t) in enumerate((k, t) for k in [*range(len(ends)), 100, 101] for t in (12, 900))]
     check_assign(spark, points, ivs)
+
+
+def test_sweep_against_brute_force(spark):
+    """Nested, reversed, open, long and repeated intervals, some before 1970, over several block widths."""
+    rnd = random.Random(11)
+    ivs = []
+    for i in range(90):
+        s = rnd.randint(-40, 160) + rnd.choice([0, 0.25])
+        length = rnd.choice([-20, -12, -7, -1, 0, 1, 5, 30, 130, 900])
+        ivs.append((rnd.randint(0, 200), rnd.choice([0, 0, 0, 1, 2]), at(s - 500_000), at(s + length - 500_000)))
+    points = [(i, rnd.choice([0, 0, 1, 2, 9]), at(rnd.randint(-100, 260) + rnd.choice([0, 0.25]) - 500_000)) for i in range(250)]
+    points += points[:20]
+    p = spark.createDataFrame(points, "pid bigint, k int, t timestamp").withColumn("covered", F.lit("old")).withColumn("_at", F.col("pid"))
+    i = spark.createDataFrame(ivs, "iid bigint, k int, s timestamp, e timestamp")
+    for hours in (1, 6, 100):
+        got = tj.assign_interval(p, i, "k", "t", "iid", "s", "e", block_hours=hours)
+        assert rows(got, "pid", "iid", "covered") == brute_assign(points, ivs), hours
+        assert got.columns == ["pid", "k", "t", "_at", "iid", "covered"]
+    near = tj.assign_interval(p, i, "k", "t", "iid", "s", "e", max_gap_hours=10)
+    start = {}
+    for iid, k, s, _ in ivs:
+        start.setdefault((iid, k), []).append(s)
+    far = lambda pid, k, t, iid: min(abs((s - t).total_seconds()) for s in start[iid, k]) > 36_000
+    place = {pid: (k, t) for pid, k, t in points}
+    want = [r for r in brute_assign(points, ivs) if r[2] or not far(r[0], *place[r[0]], r[1])]
+    assert rows(near, "pid", "iid", "covered") == want and len(want) < len(brute_assign(points, ivs))
+    assert tj.assign_interval(p, i.where("false"), "k", "t", "iid", "s", "e").count() == 0
+    assert tj.assign_interval(p.where("false"), i, "k", "t", "iid", "s", "e").count() == 0
+
+
+def test_sweep_of_a_hot_day(spark):
+    """100,000 points and 100,000 intervals of one entity in one block: no pair of them is made."""
+    points = spark.range(100_000).selectExpr("id AS pid", "1 AS k", "timestamp_micros(pmod(id * 7919, 100000) * 216000) AS t")
+    ivs = spark.range(100_000).selectExpr(
+        "id AS iid", "1 AS k", "timestamp_micros(id * 216000) AS s",
+        "timestamp_micros(id * 216000 + IF(id % 1000 = 0, 21600000000, 1000000)) AS e")
+    got = tj.assign_interval(points, ivs, "k", "t", "iid", "s", "e", grace_hours=0)
+    assert got.where("covered AND iid = pmod(pid * 7919, 100000)").count() == 100_000
+    late = points.selectExpr("pid", "k", "t + interval 5 hours 59 minutes AS t").where("t < timestamp_micros(21600000000)")
+    got = tj.assign_interval(late, ivs, "k", "t", "iid", "s", "e", grace_hours=0)
+    assert got.where("covered").count() == late.count()
