@@ -1,5 +1,7 @@
 """Sliding-window features and per-entity window operators."""
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions import fixed_values as fv
@@ -12,20 +14,18 @@ def _seconds(ts: str) -> Column:
 
 
 def last_order(ts: str, tie: str | None, row: list[str]) -> Column:
-    """Time, then tie column, as one decimal.
+    """Time, then tie column, as one decimal: 18 digits of microseconds, which the years 1 to 9999
+    fit, and 20 digits of a whole number of 64 bits.
 
     A decimal is a fixed-width aggregation buffer, so max_by stays a hash
     aggregate; ordering by a struct would make Spark sort every input row.
     A null tie counts as 0. Without a tie column a hash of the row decides, which is
     still repeatable.
     """
-    if tie:
-        second = F.coalesce(F.col(tie), F.lit(0))
-    else:
-        second = F.pmod(F.xxhash64(*row), F.lit(10**18))
-    micros = F.unix_micros(ts).cast("decimal(19,0)")
+    second = F.coalesce(F.col(tie), F.lit(0)) if tie else F.xxhash64(*row)
+    micros = F.unix_micros(ts).cast("decimal(18,0)")
     return (
-        micros * F.lit(10**18).cast("decimal(19,0)") + second.cast("decimal(18,0)")
+        micros * F.lit(Decimal(10**20)) + second.cast("decimal(19,0)") + F.lit(Decimal(2**63))
     ).cast("decimal(38,0)")
 
 

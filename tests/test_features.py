@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -168,3 +169,17 @@ def test_fold_table_has_a_total(spark):
     for c in ("n_entities", "n_positive", "n_negative", "n_windows", "n_positive_windows"):
         assert parts[c].sum() == total[c]
     assert (total.n_entities, total.n_windows, total.n_positive_windows) == (103, 206, 22)
+
+
+def test_last_takes_ids_of_all_64_bits(spark):
+    """Time decides before the id does, whatever its size or sign."""
+    ends = [-2**63, -9 * 10**17, -1, 0, 9 * 10**17, 7 * 10**18, 2**63 - 1]
+    data = [(k, t, i, float(n)) for k, early in enumerate(ends)
+            for n, (t, i) in enumerate([(at(1), early), (at(1) + timedelta(microseconds=1), -2**63)])]
+    data += [(100, at(1), i, float(n)) for n, i in enumerate(ends)]
+    data += [(200, datetime(1, 1, 2), 2**63 - 1, 0.0), (200, datetime(9999, 12, 30), -2**63, 1.0)]
+    df = spark.createDataFrame(data, "k int, t timestamp, id bigint, v double")
+    got = {r["k"]: r["v"] for r in df.groupBy("k").agg(F.max_by("v", win.last_order("t", "id", [])).alias("v")).collect()}
+    assert got == {**{k: 1.0 for k in range(len(ends))}, 100: float(len(ends) - 1), 200: 1.0}
+    first = {r["k"]: r["v"] for r in win.first_by(df, ["k"], "t", "id").collect()}
+    assert first == {**{k: 0.0 for k in range(len(ends))}, 100: 0.0, 200: 0.0}

@@ -9,14 +9,16 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from pulsegrid.plans.catalog import QUERIES
+from pulsegrid.plans.oracles import ORACLES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["events", "orders", "documents"]
+TABLES = ["events", "orders", "documents", "labels"]
 SOME = ["sliding_features", "sequence_features", "map_codes", "match_any", "json_roundtrip", "split_manifest",
         "assign_interval", "label_entities", "lofo_moments", "reconcile", "null_delta", "score_drift",
         "fold_metrics", "stream_features"]
-KEYS = sorted(oracle_sql()) if os.environ.get("PULSEGRID_ALL") else SOME
+KEYS = sorted(ORACLES) if os.environ.get("PULSEGRID_ALL") else SOME
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no supplied tables")
 
 
@@ -31,16 +33,16 @@ def test_query_equals_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = db.sql(oracle_sql()[name])
-    got = queries()[name](spark, SF)
+    want = db.sql(ORACLES[name])
+    got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(want.columns)
     assert norm(got.collect(), got.columns) == norm(want.fetchall(), want.columns)
 
 
 def test_every_sql_has_its_query():
-    assert set(oracle_sql()) <= set(queries())
+    assert set(ORACLES) <= set(QUERIES)
     rows_only = {"bootstrap_ci", "oof_boosted", "oof_sequence", "importance_table", "stream_scored"}
-    assert set(queries()) - set(oracle_sql()) == rows_only
+    assert set(QUERIES) - set(ORACLES) == rows_only
 
 
 def test_entry(spark):
