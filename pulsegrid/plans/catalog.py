@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.functions import fixed_values as fv, scalar as fx
-from pulsegrid.operators import clean, keys, labels, learn, metrics, quality, report, timejoin
+from pulsegrid.operators import boost, clean, keys, labels, learn, metrics, quality, report, timejoin
 from pulsegrid.operators import windows as win
 from pulsegrid.plans import bindings as b
 from pulsegrid.plans.hourly import hourly_score
@@ -783,11 +783,34 @@ def _training(spark, sf):
 POSITION = ["window_idx", "window_idx_norm", "hours_in_icu"]
 
 
+def _fold_rows(spark, sf):
+    table, folds = _training(spark, sf)
+    return stored(table.join(folds.select(KEY, "fold"), KEY), "fold-rows")
+
+
+def _oof_boosted(rows):
+    """Out-of-fold scores of all labels, and the number of trees that each fold's model uses."""
+    fitted = boost.fit_folds(rows, TREE + POSITION, LABELS)
+    scored = fitted.score(rows.select(*IDS, *LABELS, "fold", *TREE, *POSITION), {l: f"xgb_{l}" for l in LABELS}, "fold")
+    used = {(fitted.labels[m.label], m.held): m.best for m in fitted.models}
+    trees = {l: F.element_at(F.array(*[F.lit(used[l, j]) for j in range(fv.FOLDS)]), F.col("fold") + 1) for l in LABELS}
+    return scored.select(*IDS, *LABELS, "fold", *[f"xgb_{l}" for l in LABELS], *[trees[l].alias(f"trees_{l}") for l in LABELS])
+
+
 @query
 def oof_boosted(spark, sf):
-    table, folds = _training(spark, sf)
-    scores, _ = learn.oof_boosted(table, folds, KEY, TREE + POSITION, "label_24h", maxIter=5)
-    return scores
+    return _oof_boosted(_fold_rows(spark, sf))
+
+
+@query
+def tuning_rungs(spark, sf):
+    """Successive halving over depths, steps and leaf sizes: what each rung gave and kept."""
+    grid = [boost.Settings(depth=d, step=s, min_weight=w, rounds=90) for d in (3, 4, 5) for s in (0.03, 0.1, 0.3) for w in (1.0, 10.0)]
+    _, rungs = boost.halving_search(_fold_rows(spark, sf), TREE + POSITION, "label_24h", grid)
+    made = spark.createDataFrame(rungs, "rung int, rounds int, setting int, judged double, kept boolean")
+    settings = spark.createDataFrame([(i, s.depth, s.step, s.min_weight) for i, s in enumerate(grid)],
+                                     "setting int, depth int, step double, min_weight double")
+    return made.join(settings, "setting")
 
 
 @query
@@ -802,9 +825,8 @@ def oof_sequence(spark, sf):
 
 @query
 def importance_table(spark, sf):
-    table = stored(_training(spark, sf)[0])
-    model = learn.fit_final(table, TREE + POSITION, "label_24h", maxIter=5)
-    return report.top_importance(learn.importance_table(spark, model))
+    fitted = boost.fit_all(_fold_rows(spark, sf), TREE + POSITION, LABELS)
+    return report.top_importance(boost.importance_table(spark, fitted))
 
 
 # --- streams ---------------------------------------------------------------------------------------------
@@ -871,12 +893,7 @@ def stream_positions(spark, sf):
 
 @query
 def stream_scored(spark, sf):
-    table = stored(b.labelled(spark, sf, TREE_STATS).select(*IDS, *LABELS, *TREE, "n_events"))
-    table = stored(win.temporal_features(table, KEY))
-    live = TREE + ["window_idx", "hours_in_icu"]
-    models = {
-        h: learn.fit_final(table, live, f"label_{h}", maxIter=3) for h in ("6h", "12h", "24h")
-    }
+    models = boost.fit_all(_fold_rows(spark, sf), TREE + ["window_idx", "hours_in_icu"], LABELS)
     path = scratch_path(spark, "predictions")
     windows = b.features(_event_stream(spark, sf), stats=TREE_STATS).select(*IDS, *TREE, "n_events")
     run = scoring.score_stream(windows, KEY, models, path, stream.checkpoint_for(spark, "scoring"))

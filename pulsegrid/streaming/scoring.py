@@ -8,25 +8,32 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pulsegrid.functions import fixed_values as fv
 from pulsegrid.functions.scalar import alert_flag
+from pulsegrid.operators.boost import Boosted
 from pulsegrid.operators.learn import score
 from pulsegrid.operators.report import top_alerts
 from pulsegrid.streaming.state import stream_positions
 from pulsegrid.streaming.stream import multi_sink, parquet_by_epoch, sink_batches
 
 
-def score_windows(windows: DataFrame, key: str, models: dict[str, PipelineModel],
+def score_windows(windows: DataFrame, key: str, models: dict[str, PipelineModel] | Boosted,
                   horizon: str = "6h", threshold: float = fv.ALERT_THRESHOLD) -> DataFrame:
-    """All horizon scores and the alert flag of one horizon."""
-    out = windows
-    for name, model in models.items():
-        out = score(out, model, f"score_{name}")
+    """All horizon scores and the alert flag of one horizon; models by horizon, or boosted ones of the
+    labels label_<horizon>."""
+    if isinstance(models, Boosted):
+        names = {label: label.replace("label_", "score_") for label in models.labels}
+        out = models.score(windows, names)
+    else:
+        names = {h: f"score_{h}" for h in models}
+        out = windows
+        for h, name in names.items():
+            out = score(out, models[h], name)
     keep = [key, "window_start_time", "window_end_time"]
     keep += [c for c in ("n_events", "avg_latency_ms") if c in windows.columns]
-    keep += [f"score_{name}" for name in models]
+    keep += names.values()
     return out.select(*keep, alert_flag(f"score_{horizon}", threshold).alias("alert"))
 
 
-def score_stream(stream: DataFrame, key: str, models: dict[str, PipelineModel], path: str,
+def score_stream(stream: DataFrame, key: str, models: dict[str, PipelineModel] | Boosted, path: str,
                  checkpoint: str, horizon: str = "6h", threshold: float = fv.ALERT_THRESHOLD,
                  on_alerts: Callable[[list], None] | None = None) -> StreamingQuery:
     """Position, score and persist streamed windows; the ten highest alerts of each
