@@ -5,6 +5,9 @@ counts from the highest score down, which `running_sums` provides for any number
 of distinct scores and for any share of rows in one group.
 """
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -223,28 +226,99 @@ def _walk(pdf: pd.DataFrame, draws: int, seed: int, tp: np.ndarray, tn: np.ndarr
     return tp, tn, lost, precision
 
 
+# Poisson(1) by a 32-bit number: as many as there are bounds at or below it.
+POISSON_BOUNDS = np.floor(_POISSON_ONE[:-1] * 2.0**32).astype(np.uint64)
+REMEMBERED_ENTITIES = 20_000_000  # weights that a walk remembers, over all entities; it bounds memory only
+
+
+def entity_weights(entity: str, draws: int, seed: int) -> np.ndarray:
+    """Poisson(1) weight of an entity in every replica, out of the bits of MD5 sums, four replicas each.
+
+    Replica r takes the r mod 4-th word of 8 hex digits of md5('seed:r div 4:entity'), so that
+    any engine that knows MD5 can draw the same.
+    """
+    digests = b"".join(hashlib.md5(f"{seed}:{q}:{entity}".encode()).digest() for q in range(-(-draws // 4)))
+    return np.searchsorted(POISSON_BOUNDS, np.frombuffer(digests, ">u4")[:draws], "right").astype(np.float64)
+
+
+def _tied(pdf: pd.DataFrame, draws: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Weighted positives and negatives (scores x replicas) down the distinct scores, some at a time.
+
+    A score whose rows go over the end of a batch is added up until its last row is seen.
+    """
+    known: dict[str, np.ndarray] = {}
+    pdf = pdf.sort_values("score", ascending=False)
+    step = max(1, 4_000_000 // draws)
+    held: tuple | None = None
+    for start in range(0, len(pdf), step):
+        rows = pdf.iloc[start:start + step]
+        weights = np.empty((len(rows), draws))
+        for i, entity in enumerate(rows["_entity"]):
+            if entity not in known:
+                if len(known) * draws >= REMEMBERED_ENTITIES:
+                    known.clear()
+                known[entity] = entity_weights(entity, draws, seed)
+            weights[i] = known[entity]
+        scores = rows["score"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], scores[1:] != scores[:-1]]))
+        pos, neg = (np.add.reduceat(weights * rows[c].to_numpy(float)[:, None], first, 0) for c in ("pos", "neg"))
+        if held and held[0] == scores[0]:
+            pos[0] += held[1]
+            neg[0] += held[2]
+        elif held:
+            yield held[1][None], held[2][None]
+        if len(first) > 1:
+            yield pos[:-1], neg[:-1]
+        held = scores[-1], pos[-1], neg[-1]
+    if held:
+        yield held[1][None], held[2][None]
+
+
+def _walk_entities(pdf: pd.DataFrame, draws: int, seed: int, tp: np.ndarray, tn: np.ndarray):
+    """`_walk` with one weight per entity and replica, for all rows of the entity."""
+    lost, precision = np.zeros(draws), np.zeros(draws)
+    for pos, neg in _tied(pdf, draws, seed):
+        above_p, above_n = tp + np.cumsum(pos, 0), tn + np.cumsum(neg, 0)
+        seen = above_p + above_n
+        lost += (pos * (above_n - neg / 2.0)).sum(0)
+        precision += (pos * np.divide(above_p, seen, out=np.zeros_like(seen), where=seen > 0)).sum(0)
+        tp, tn = above_p[-1], above_n[-1]
+    return tp, tn, lost, precision
+
+
 def bootstrap_replicas(df: DataFrame, groups: list[str], y: str, score: str,
-                       draws: int = fv.BOOTSTRAP_DRAWS, seed: int = fv.SEED) -> DataFrame:
+                       draws: int = fv.BOOTSTRAP_DRAWS, seed: int = fv.SEED,
+                       cluster: str | None = None) -> DataFrame:
     """AUROC and average precision of every Poisson bootstrap replica per group.
 
     A replica gives each row a Poisson(1) weight, so equal scores together get a
-    Poisson(count) weight and rows are counted per score first. Scores are cut into
+    Poisson(count) weight and rows are counted per score first. Rows of one entity are not
+    independent: with `cluster`, the column that names it, a replica draws one weight per entity
+    (`entity_weights` of its text form, a null as the empty text), and rows are counted
+    per score and entity. Scores are cut into
     ranges, one per task; a first pass leaves one total per range and replica, a second
     pass adds up each range's share on top of the totals above it. Rows are never
     multiplied by the number of replicas in a shuffle.
     """
-    counts = score_counts(df, groups, y, score).withColumn("_id", F.xxhash64(*groups, "score"))
+    if cluster:
+        walk = _walk_entities
+        counts = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(
+            *groups, F.col(score).alias("score"), F.coalesce(F.col(cluster).cast("string"), F.lit("")).alias("_entity")
+        ).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+    else:
+        walk = _walk
+        counts = score_counts(df, groups, y, score).withColumn("_id", F.xxhash64(*groups, "score"))
     pieces = range_pieces(counts, groups, [F.col("score").desc()])
     at = [*groups, PIECE]
     kinds = ", ".join(f"{n} {t}" for n, t in pieces.select(*at).dtypes)
     zero = np.zeros(draws)
 
     def totals(key, pdf):
-        tp, tn, _, _ = _walk(pdf, draws, seed, zero, zero)
+        tp, tn, _, _ = walk(pdf, draws, seed, zero, zero)
         return pd.DataFrame([(*key, tp, tn)], columns=[*at, "_tp", "_tn"])
 
     def shares(key, pdf, carry):
-        _, _, lost, precision = _walk(
+        _, _, lost, precision = walk(
             pdf, draws, seed, np.array(carry["_cp"].iloc[0]), np.array(carry["_cn"].iloc[0])
         )
         return pd.DataFrame([(*key, lost, precision)], columns=[*at, "_lost", "_prec"])
@@ -283,8 +357,8 @@ def bootstrap_replicas(df: DataFrame, groups: list[str], y: str, score: str,
 
 def bootstrap_ci(df: DataFrame, groups: list[str], y: str, score: str,
                  draws: int = fv.BOOTSTRAP_DRAWS, seed: int = fv.SEED,
-                 level: float = 0.95) -> DataFrame:
-    """Mean and interval of both metrics over the replicas."""
+                 level: float = 0.95, cluster: str | None = None) -> DataFrame:
+    """Mean and interval of both metrics over the replicas, of rows or of whole entities."""
     tail = (1 - level) / 2
     aggs = []
     for m in ("auroc", "average_precision"):
@@ -294,6 +368,6 @@ def bootstrap_ci(df: DataFrame, groups: list[str], y: str, score: str,
             F.percentile(m, F.lit(tail)).alias(f"{m}_lo"),
             F.percentile(m, F.lit(1 - tail)).alias(f"{m}_hi"),
         ]
-    return bootstrap_replicas(df, groups, y, score, draws, seed).groupBy(*groups).agg(
+    return bootstrap_replicas(df, groups, y, score, draws, seed, cluster).groupBy(*groups).agg(
         F.count("*").alias("n_replicas"), *aggs
     )

@@ -773,6 +773,12 @@ def bootstrap_ci(spark, sf):
     return metrics.bootstrap_ci(_long(spark, sf), GROUPS, "y", "score")
 
 
+@query
+def cluster_bootstrap(spark, sf):
+    """Intervals when whole entities are drawn, and not windows."""
+    return metrics.bootstrap_ci(_long(spark, sf), GROUPS, "y", "score", cluster=KEY)
+
+
 # --- learners ----------------------------------------------------------------------------------------
 
 def _training(spark, sf):

@@ -4,6 +4,7 @@ Shared parts are named common table expressions; `sql` puts the ones a query use
 in front of it.
 """
 
+import math
 import re
 
 SIGNALS = ["click", "error", "purchase", "signup", "view"]
@@ -38,6 +39,9 @@ def _stat(signal: str, stat: str) -> str:
 
 FEATURE_SQL = ",\n  ".join(_stat(s, t) for s in SIGNALS for t in STATS)
 HOURS = (6, 12, 24)
+SEED, DRAWS = 42, 1000
+# 32-bit bounds of the Poisson(1) distribution
+POISSON = ", ".join(str(int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32)) for k in range(12))
 
 CTES = {
     "member": """
@@ -85,6 +89,24 @@ CTES = {
   sum(pos) OVER (PARTITION BY model, label) AS n_pos,
   sum(neg) OVER (PARTITION BY model, label) AS n_neg
  FROM counts WINDOW win AS (PARTITION BY model, label ORDER BY score DESC)""",
+    # replicas of whole entities: Poisson(1) weights out of MD5 words
+    "entityweights": f"""
+ SELECT user_id, rep, len(list_filter([{POISSON}], lambda bound: bound <= word)) AS weight FROM (
+  SELECT user_id, rep, CAST('0x' || substr(md5('{SEED}:' || (rep // 4) || ':' || user_id), CAST(1 + 8 * (rep % 4) AS INTEGER), 8)
+   AS BIGINT) AS word
+  FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(range({DRAWS})) AS rep))""",
+    "entitycounts": """
+ SELECT user_id, model, label, score, sum(y) AS pos, sum(1 - y) AS neg FROM long GROUP BY ALL""",
+    "replicacounts": """
+ SELECT model, label, rep, score, sum(weight * pos) AS pos, sum(weight * neg) AS neg
+ FROM entitycounts JOIN entityweights USING (user_id) WHERE weight > 0 GROUP BY ALL""",
+    "replicacurve": """
+ SELECT *, sum(pos) OVER win AS tp, sum(neg) OVER win AS fp
+ FROM replicacounts WINDOW win AS (PARTITION BY model, label, rep ORDER BY score DESC)""",
+    "replicametrics": """
+ SELECT model, label, rep, 1 - sum(pos * (fp - neg / 2)) / (sum(pos) * sum(neg)) AS auroc,
+  sum(CASE WHEN tp + fp > 0 THEN pos * tp / (tp + fp) ELSE 0 END) / sum(pos) AS average_precision
+ FROM replicacurve GROUP BY ALL HAVING sum(pos) > 0 AND sum(neg) > 0""",
     "fcounts": """
  SELECT model, label, fold, score, sum(y) AS pos, sum(1 - y) AS neg
  FROM long JOIN folds USING (user_id) GROUP BY ALL""",
@@ -551,6 +573,9 @@ BODIES = {
     "sens_at_spec": f"""SELECT model, label, {r(sens(0.9), 'sens_at_90')}, {r(sens(0.95), 'sens_at_95')}
  FROM curve GROUP BY model, label""",
     "threshold_at_spec": f"SELECT model, label, {r(THRESHOLD, 'threshold')} FROM curve GROUP BY model, label",
+    "cluster_bootstrap": f"""SELECT model, label, count(*) AS n_replicas, """ + ", ".join(
+        f"{r(f'avg({m})', f'{m}_mean')}, {r(f'quantile_cont({m}, 0.025)', f'{m}_lo')}, {r(f'quantile_cont({m}, 0.975)', f'{m}_hi')}"
+        for m in ("auroc", "average_precision")) + " FROM replicametrics GROUP BY model, label",
     "metric_table": f"SELECT model, label, {METRICS} FROM curve GROUP BY model, label HAVING max(n_pos) > 0",
     "fold_metrics": f"SELECT model, label, fold, {METRICS} FROM fcurve GROUP BY model, label, fold HAVING max(n_pos) > 0",
     "ap_lift": f"""SELECT model, label, {r('prev', 'prevalence')}, {r('ap / prev', 'lift')} FROM (SELECT model, label,

@@ -1,6 +1,9 @@
 import random
 
+import duckdb
 import numpy as np
+import pandas as pd
+import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -127,3 +130,43 @@ def test_ensemble_skips_nulls(spark):
     a = spark.createDataFrame([(1, 1, 0.2), (2, 0, None)], "k int, y int, a_y double")
     b = spark.createDataFrame([(1, 0.4), (2, 0.6), (3, 0.1)], "k int, b_y double")
     assert rows(mt.ensemble(a, b, ["k"], "a", "b", ["y"]), "k", "ens_y") == [(1, 0.30000000000000004), (2, 0.6)]
+
+
+def test_entity_weights_are_poisson_and_repeat(spark):
+    weights = np.stack([mt.entity_weights(str(i), 1001, 3) for i in range(300)])
+    assert weights.shape == (300, 1001) and (mt.entity_weights("7", 1001, 3) == weights[7]).all()
+    assert abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.02 and abs(np.corrcoef(weights[0], weights[1])[0, 1]) < 0.1
+    db = duckdb.connect()
+    word = db.sql("SELECT CAST('0x' || substr(md5('3:' || (6 // 4) || ':' || 7), 1 + 8 * (6 % 4), 8) AS BIGINT)").fetchall()[0][0]
+    assert (mt.POISSON_BOUNDS <= word).sum() == weights[7][6]
+
+
+def test_bootstrap_of_entities(spark):
+    """Every replica equals the metric of the rows repeated as often as their entity is drawn."""
+    rnd, draws, seed = random.Random(6), 30, 5
+    data = [("g" if i % 3 else "h", e, int(rnd.random() < 0.3 + ((e or 0) % 2) * 0.3), rnd.choice([0.1, 0.2, 0.5, 0.9, rnd.random()]))
+            for i in range(900) for e in [rnd.choice([0, 0, 0, *range(25), None])]]
+    data += [("one class", 1, 1, 0.4), ("g", 3, None, 0.5), ("g", 3, 1, None)]
+    df = spark.createDataFrame(data, "g string, e int, y int, s double")
+    got = {(r["g"], r["replica"]): r for r in mt.bootstrap_replicas(df, ["g"], "y", "s", draws, seed, "e").collect()}
+    weights = {e: mt.entity_weights("" if e is None else str(e), draws, seed) for e in {e for _, e, _, _ in data}}
+    for g in ("g", "h"):
+        rows = [(y, s, weights[e]) for gg, e, y, s in data if gg == g and y is not None and s is not None]
+        for r in range(draws):
+            flat = [(y, s) for y, s, w in rows for _ in range(int(w[r]))]
+            pos, neg = [s for y, s in flat if y], [s for y, s in flat if not y]
+            wins = sum((p > n) + (p == n) / 2 for p in pos for n in neg)
+            assert got[g, r]["auroc"] == pytest.approx(wins / (len(pos) * len(neg)))
+            ap = sum(sum(y for y, s in flat if s >= t) / sum(s >= t for _, s in flat) for t in pos) / len(pos)
+            assert got[g, r]["average_precision"] == pytest.approx(ap)
+    assert not any(g == "one class" for g, _ in got) and len(got) == 2 * draws
+
+
+def test_ties_over_batches():
+    """A score shared by more rows than a batch holds is one score."""
+    pdf = pd.DataFrame({"score": [0.9] * 5 + [0.5] * 2 + [0.1] * 9, "_entity": [str(i) for i in range(16)],
+                        "pos": [1, 0] * 8, "neg": [0, 1] * 8})
+    zero = np.zeros(1_000_000)
+    small = [v[:1000] for v in mt._walk_entities(pdf, 1_000_000, 1, zero, zero)]
+    whole = mt._walk_entities(pdf, 1000, 1, zero[:1000], zero[:1000])
+    assert all(np.allclose(a, b) for a, b in zip(small, whole))
