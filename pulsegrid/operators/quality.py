@@ -212,15 +212,3 @@ def late_report(windows: DataFrame, latest: Column, end: str = "window_end_time"
         F.count("*").alias("n_windows"), F.count_if(open_).alias("n_open"),
         F.count_if(~open_).alias("n_emitted"),
     )
-
-
-def arrival_losses(df: DataFrame, ts: str, batch: str, delay_hours: float = 1.0) -> DataFrame:
-    """Rows a watermark would drop when batches arrive in order of `batch`: their
-    time lies before the latest time of all earlier batches less the delay."""
-    peaks = df.groupBy(batch).agg(F.max(ts).alias("_peak"))
-    before = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)
-    marks = peaks.select(batch, plus_hours(F.max("_peak").over(before), -delay_hours).alias("_mark"))
-    return df.join(marks, batch).groupBy(batch).agg(
-        F.count("*").alias("n_rows"),
-        F.count_if(F.coalesce(F.col(ts) < F.col("_mark"), F.lit(False))).alias("n_late"),
-    )

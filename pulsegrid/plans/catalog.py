@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pulsegrid.functions import fixed_values as fv, scalar as fx
 from pulsegrid.operators import boost, clean, keys, labels, learn, metrics, quality, report, timejoin
@@ -11,7 +11,7 @@ from pulsegrid.plans import bindings as b
 from pulsegrid.plans.hourly import hourly_score
 from pulsegrid.session import scratch_path, stored
 from pulsegrid.sources import messages, readers, writers
-from pulsegrid.streaming import scoring, state, stream
+from pulsegrid.streaming import ledger, progress, scoring, state, stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -615,13 +615,6 @@ def late_report(spark, sf):
     return quality.late_report(b.windows(spark, sf), latest)
 
 
-@query
-def arrival_losses(spark, sf):
-    """Events arriving in order of value and not of time: what a watermark drops."""
-    rows = b.events(spark, sf).withColumn("batch", F.least(F.floor(F.col("value") / 20), F.lit(9)))
-    return quality.arrival_losses(rows, "ts", "batch")
-
-
 # --- risk reports ------------------------------------------------------------------------------
 
 @query
@@ -842,6 +835,52 @@ def _event_stream(spark, sf):
     return stream.with_watermark(raw, "ts")
 
 
+def _replay(spark, sf, chunks=6):
+    """Events in order of time, replayed chunk by chunk: as many micro-batches as files."""
+    path = scratch_path(spark, "replay")
+    split = writers.split_ordered(b.events(spark, sf), ["ts", "event_id"], chunks)
+    ledger.commit_chunks(split, path, ["ts", "event_id"])
+    raw = stream.stream_files(spark, path, b.EVENT_FILE, "parquet", "*.parquet", max_files=1)
+    return stream.with_watermark(raw, "ts")
+
+
+@query
+def stream_replay(spark, sf):
+    """Window features out of a run of six micro-batches or more, in which nothing comes too late."""
+    with progress.ProgressTable(spark, scratch_path(spark, "progress")) as log:
+        made = _drained(spark, b.features(_replay(spark, sf)), "stream-replay")
+        log.settle(1)
+    batches = progress.late_rows(progress.read_progress(spark, log.path)).agg(
+        F.count("*").alias("n"), F.sum("n_late").alias("late")).first()
+    if batches["n"] < 6 or batches["late"]:
+        raise ValueError(f"{batches['n']} batches, {batches['late']} late rows")
+    return made
+
+
+@query
+def arrival_losses(spark, sf):
+    """Events arriving in order of value and not of time, a bounded run for each power of two: the rows
+    that the watermark of a deduplicating stream drops, as its operators tell."""
+    rows = b.events(spark, sf).withColumn("chunk", F.floor(F.log2(F.col("value") + 1)).cast("int"))
+    inbox, path = scratch_path(spark, "inbox"), scratch_path(spark, "arrived")
+    checkpoint = stream.checkpoint_for(spark, "arrivals")
+    runs = []
+
+    def drain():
+        raw = stream.stream_files(spark, inbox, b.EVENT_FILE, "parquet", "*.parquet")
+        once = stream.with_watermark(raw, "ts").dropDuplicates(["event_id", "ts"])
+        stream.run_available(stream.sink_parquet(once, path, checkpoint))
+        runs.append(1)
+
+    with progress.ProgressTable(spark, scratch_path(spark, "progress")) as log:
+        ledger.commit_chunks(rows, inbox, ["ts", "event_id"], after=drain)
+        log.settle(len(runs))
+    told = progress.late_rows(progress.read_progress(spark, log.path))
+    kept = spark.read.parquet(path).count()
+    number = (F.row_number().over(Window.orderBy("batch")) - 1).cast("long")  # one row per run
+    return told.select(number.alias("run"), "n_rows", "n_late").withColumn("n_kept", F.lit(kept).cast("long"))
+
+
 def _drained(spark, windows_stream, name):
     path = scratch_path(spark, name)
     stream.run_available(stream.sink_parquet(windows_stream, path, stream.checkpoint_for(spark, name)))

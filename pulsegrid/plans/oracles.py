@@ -341,6 +341,7 @@ BAND["ratio"] = f"CASE WHEN v > 0 AND v <= 100 THEN 80 / (v / 100) ELSE {BAND['s
 BODIES = {
     "sliding_features": f"SELECT {W_ALL} FROM w",
     "stream_features": f"SELECT {W_ALL} FROM w, closed WHERE window_end_time <= mark",
+    "stream_replay": f"SELECT {W_ALL} FROM w, closed WHERE window_end_time <= mark",
     "horizon_label": f"SELECT {IDS}, label_6h AS label FROM labelled",
     "stream_labelled": f"SELECT {IDS}, label_6h AS label FROM labelled, closed WHERE window_end_time <= mark",
     "horizon_labels": f"SELECT {IDS}, {', '.join(LABELS)} FROM labelled",
@@ -523,11 +524,14 @@ BODIES = {
  {r(f"100.0::DOUBLE * count(coalesce({', '.join(s + '_slope' for s in SIGNALS)})) / count(*)", 'covered_pct')} FROM w""",
     "late_report": """SELECT count(*) AS n_windows, count(*) FILTER (WHERE window_end_time > mark) AS n_open,
  count(*) FILTER (WHERE window_end_time <= mark) AS n_emitted FROM w, closed""",
-    "arrival_losses": """SELECT batch, count(*) AS n_rows, count(*) FILTER (WHERE ts < mark) AS n_late FROM (
- SELECT *, least(CAST(floor(value / 20) AS BIGINT), 9) AS batch FROM events) JOIN (
- SELECT batch, max(peak) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 HOUR AS mark
- FROM (SELECT least(CAST(floor(value / 20) AS BIGINT), 9) AS batch, max(ts) AS peak FROM events GROUP BY 1)) USING (batch)
- GROUP BY batch""",
+    "arrival_losses": """SELECT row_number() OVER (ORDER BY band) - 1 AS run, count(*) AS n_rows,
+ count(*) FILTER (WHERE ts <= mark) AS n_late,
+ CAST(sum(count(*) FILTER (WHERE ts > mark OR mark IS NULL)) OVER () AS BIGINT) AS n_kept
+ FROM (SELECT *, CAST(floor(log2(value + 1)) AS INT) AS band FROM events) JOIN (
+ SELECT band, date_trunc('milliseconds', max(peak) OVER (ORDER BY band ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  - INTERVAL 1 HOUR AS mark
+ FROM (SELECT CAST(floor(log2(value + 1)) AS INT) AS band, max(ts) AS peak FROM events GROUP BY 1)) USING (band)
+ GROUP BY band""",
     # reports
     "entity_risk": ENTITY_RISK,
     "top_entities": ENTITY_RISK + " ORDER BY max(score_12h) DESC, user_id LIMIT 15",

@@ -3,7 +3,7 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from pulsegrid import schemas
@@ -23,10 +23,10 @@ def stream_files(spark: SparkSession, path: str, schema: StructType = schemas.EV
     """
     reader = (
         spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", True)
     )
     if fmt == "csv":
         reader = reader.option("header", True).option("timestampFormat", fv.TIME_FORMAT)
-        reader = reader.option("recursiveFileLookup", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(path)
@@ -133,26 +133,3 @@ def latency_csv_by_epoch(path: str, key: str) -> Callable[[DataFrame, int], None
         ).write.mode("overwrite").option("header", True).csv(f"{path}/epoch={epoch}")
 
     return write
-
-
-class ProgressLog(StreamingQueryListener):
-    """Collects start, progress and end of queries as plain rows."""
-
-    def __init__(self):
-        self.rows: list[tuple] = []
-
-    def onQueryStarted(self, event):
-        self.rows.append(("started", str(event.id), None, None, None, None))
-
-    def onQueryProgress(self, event):
-        p = event.progress
-        late = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
-        self.rows.append(
-            ("progress", str(p.id), p.batchId, p.numInputRows, p.processedRowsPerSecond, late)
-        )
-
-    def onQueryIdle(self, event):
-        pass
-
-    def onQueryTerminated(self, event):
-        self.rows.append(("terminated", str(event.id), None, None, None, None))

@@ -59,11 +59,6 @@ def test_shares_sizes_and_ranges(spark):
     assert rows(quality.range_check(df, lim)) == [("x", 75.0, True)]
 
 
-def test_arrival_losses(spark):
-    df = spark.createDataFrame([(1, at(5)), (2, at(4.5)), (2, at(3.9)), (3, at(9)), (3, at(4))], "b int, t timestamp")
-    assert rows(quality.arrival_losses(df, "t", "b")) == [(1, 1, 0), (2, 2, 1), (3, 2, 0)]
-
-
 def test_bounds_and_codes(spark):
     ev = spark.createDataFrame([("hr", 20.0), ("hr", 19.9), ("hr", 300.0), ("hr", None), ("other", -5.0)], "signal_name string, v double")
     b = spark.createDataFrame([("hr", 20.0, 300.0)], "signal_name string, lo double, hi double")

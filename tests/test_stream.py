@@ -1,14 +1,15 @@
 import random
 import time
 
-from pyspark.sql import functions as F
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F, types as T
 
 from helpers import at, rows
 from pulsegrid.functions import fixed_values as fv
 from pulsegrid.operators import learn
 from pulsegrid.operators import windows as win
 from pulsegrid.sources import writers
-from pulsegrid.streaming import scoring, state, stream
+from pulsegrid.streaming import ledger, progress, scoring, state, stream
 
 SIG = ["a", "b"]
 COLS = ["icustay_id", "window_start_time", "window_end_time", *[f"{s}_{t}" for s in SIG for t in fv.STATS], "n_events"]
@@ -62,19 +63,66 @@ def test_files_in_time_order_lose_nothing_and_late_rows_are_counted(spark, tmp_p
     for p in parts:
         add_file(p, path)
     add_file(make_events(spark, 10, 9, start=0.0), path)  # far too late
-    log = stream.ProgressLog()
-    spark.streams.addListener(log)
-    try:
+    with progress.ProgressTable(spark, str(tmp_path / "log"), most=2) as log:
         got = drain(spark, features(source(spark, path, 1)), str(tmp_path / "out"), str(tmp_path / "ck"))
-        time.sleep(2)
-    finally:
-        spark.streams.removeListener(log)
+        log.settle(1)
     ev = parts[0].unionAll(parts[1]).unionAll(parts[2])
     assert tidy(got.select(COLS)) == tidy(closed(features(ev), ev).select(COLS))
-    kinds = [r[0] for r in log.rows]
-    assert "started" in kinds and "terminated" in kinds
-    assert sum(r[3] for r in log.rows if r[0] == "progress") == 190
-    assert sum(r[5] for r in log.rows if r[0] == "progress") > 0
+    told = progress.read_progress(spark, log.path)
+    assert {r["event"] for r in told.collect()} == {"started", "progress", "terminated"} and not log._waiting
+    late = {r["batch"]: r for r in progress.late_rows(told).collect()}
+    assert [late[i]["n_rows"] for i in range(4)] == [60, 60, 60, 10] and [late[i]["n_late"] > 0 for i in range(4)] == [False] * 3 + [True]
+
+
+def test_chunks_replay_in_order(spark, tmp_path):
+    """Six chunks give six micro-batches or more in the order of time, and no row is late, though the
+    files were written at once; fill and positions over them equal the batch."""
+    ev, path = make_events(spark, 600, 4), str(tmp_path / "in")
+    chunked = writers.split_ordered(ev.withColumn("n", F.monotonically_increasing_id()).checkpoint(), ["charttime", "n"], 6)
+    seen = []
+    assert ledger.commit_chunks(chunked, path, ["charttime", "n"], after=lambda: seen.append(1)) >= 6 and len(seen) == 6
+    raw = stream.stream_files(spark, path, ev.schema, "parquet", "*.parquet", max_files=1)
+    keep = ["icustay_id", "window_start_time", "window_end_time", *[f"{s}_last" for s in SIG]]
+    feats = features(stream.with_watermark(raw))
+    with progress.ProgressTable(spark, str(tmp_path / "log")) as log:
+        got = drain(spark, feats, str(tmp_path / "out"), str(tmp_path / "c1"))
+        log.settle(1)
+    late = progress.late_rows(progress.read_progress(spark, log.path)).collect()
+    assert len(late) >= 6 and sum(r["n_rows"] for r in late) == 600 and not sum(r["n_late"] for r in late)
+    want = closed(features(ev), ev)
+    assert tidy(got.select(COLS)) == tidy(want.select(COLS))
+    last = [f"{s}_last" for s in SIG]
+    filled = drain(spark, state.stream_forward_fill(feats.select(keep), "icustay_id", last), str(tmp_path / "fill"), str(tmp_path / "c2"))
+    assert rows(filled) == rows(win.forward_fill(want.select(keep), "icustay_id", last))
+
+
+def test_a_batch_that_dies_between_sinks_is_stored_once(spark, tmp_path):
+    ev, path = make_events(spark, 400, 5), str(tmp_path / "in")
+    for part in (ev.where("charttime < timestamp'2024-01-01 10:00:00'"), ev.where("charttime >= timestamp'2024-01-01 10:00:00'")):
+        add_file(part, path)
+    columns, log, ck = ["icustay_id", "window_end_time", "n_events"], str(tmp_path / "log"), str(tmp_path / "ck")
+    deaths, epochs = [], []
+
+    def die(batch, epoch):
+        epochs.append(epoch)
+        if len(deaths) < 2:
+            deaths.append(epoch)
+            raise RuntimeError("lost between the sinks")
+
+    for _ in range(3):
+        write = stream.multi_sink([ledger.append_csv_once(log, columns), die, stream.parquet_by_epoch(str(tmp_path / "f"))])
+        try:
+            stream.run_available(stream.sink_batches(features(source(spark, path, 1)), write, ck))
+        except StreamingQueryException:
+            assert deaths
+    assert len(deaths) == 2 and len(epochs) > len(set(epochs))
+    want = rows(closed(features(ev), ev).select(columns))
+    schema = T.StructType.fromDDL("icustay_id bigint, window_end_time timestamp, n_events bigint")
+    assert rows(ledger.read_csv_log(spark, log, schema)) == want == rows(spark.read.parquet(str(tmp_path / "f")).select(columns))
+    files = sorted((p for p in (tmp_path / "log").rglob("part-*") if "_" not in p.parts[-3][0]), key=str)
+    text = "".join(p.read_text() for p in files).splitlines()
+    assert text[0] == ",".join(columns) and text.count(text[0]) == 1 and len(text) == len(want) + 1
+    assert ledger.read_csv_log(spark, str(tmp_path / "none"), schema).count() == 0
 
 
 def test_state_survives_a_restart(spark, tmp_path):
