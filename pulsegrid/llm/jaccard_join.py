@@ -59,7 +59,8 @@ def _least_difference(left: str, right: str) -> Column:
 
 
 def _classes(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n, sig, the path's start and the parity sketch of each text; the last two once per class and task.
+    """id, text_hash, n, sig, the path's start and the parity sketch of each text; the last two once per class
+    and task.
 
     `sig` digests the whole set, so equal sets are one class, and copies send no paths.
     """
@@ -84,13 +85,13 @@ def _classes(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
                     starts.append(own[:_prefix(n, percent) + _slack(n)].view(np.int64))
                     sketches.append(_parity(own))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part.start:part.stop], pa.array(sizes), pa.array(sigs),
+                    [batch.column(0)[part.start:part.stop], batch.column(2)[part.start:part.stop], pa.array(sizes), pa.array(sigs),
                      pa.array(starts, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                    names=["id", "n", "sig", "start", "sketch"])
+                    names=["id", "text_hash", "n", "sig", "start", "sketch"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     kind = column_type(docs, id_col)
-    return rows.mapInArrow(read, f"id {kind}, n long, sig long, start array<bigint>, sketch array<bigint>")
+    return rows.mapInArrow(read, f"id {kind}, text_hash long, n long, sig long, start array<bigint>, sketch array<bigint>")
 
 
 def _spot(name: str) -> Column:
@@ -357,8 +358,10 @@ def _linked(docs: DataFrame, members: DataFrame, percent: int, id_col: str, text
 
 
 def link_documents(docs: DataFrame, percent: int = 80, frequent: int = 64, id_col: str = "doc_id",
-                   text_col: str = "text", count_links: bool = True, per_block: int = 1_000) -> DataFrame:
-    """Class every document by what it links to: id_col, n_shingles, component_id, n_links if `count_links`.
+                   text_col: str = "text", count_links: bool = True, per_block: int = 1_000,
+                   name_rows: bool = False) -> DataFrame:
+    """Class every document by what it links to: id_col, n_shingles, component_id, n_links if `count_links`;
+    with `name_rows` also text_hash and root, which tell rows of one id and components apart.
 
     Documents link when 100 times the shingles they share are at least `percent` times those
     of their union. component_id is the smallest id reachable by links; n_links is the number of other
@@ -420,11 +423,12 @@ def link_documents(docs: DataFrame, percent: int = 80, frequent: int = 64, id_co
 
     rooted = (classes.drop("sketch").join(found.withColumnRenamed("node", "sig"), "sig", "left")
               .withColumn("root", F.coalesce("root", "sig")))
-    own = known.select("id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
+    own = known.select("id", "text_hash", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
     wanted = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")]
+    named = ["text_hash", "root"] if name_rows else []
     if not count_links:
         least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-        return own.join(rooted.join(least, "root").select("sig", "component_id"), "sig", "left").select(*wanted)
+        return own.join(rooted.join(least, "root").select("sig", "root", "component_id"), "sig", "left").select(*wanted, *named)
 
     ids = own.where("n > 0").groupBy("sig", "id").agg(F.count("*").alias("rows"))
     sizes = ids.groupBy("sig").agg(F.sum(F.when(F.col("id").isNull(), F.col("rows")).otherwise(1)).alias("size"))
@@ -434,9 +438,9 @@ def link_documents(docs: DataFrame, percent: int = 80, frequent: int = 64, id_co
         F.greatest(F.ceil(F.count("*") / per_block), F.ceil(F.sum("n") / (400 * per_block))).alias("blocks"))
     of_class = stored(rooted.join(whole, "root"), "components-of-classes")
     linked = _linked(docs, of_class.where("n_classes > 2"), percent, id_col, text_col)
-    of_class = of_class.join(linked, "sig", "left").select("sig", "component_id", (F.col("size") - 1 + F.when(
+    of_class = of_class.join(linked, "sig", "left").select("sig", "root", "component_id", (F.col("size") - 1 + F.when(
         F.col("n_classes") > 2, F.col("linked")).otherwise(F.col("n_docs") - F.col("size"))).alias("n_links"))
-    return own.join(of_class, "sig", "left").select(*wanted, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return own.join(of_class, "sig", "left").select(*wanted, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *named)
 
 
 def _check(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, id_col: str,
@@ -448,12 +452,16 @@ def _check(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int,
 
 
 def keep_one(docs: DataFrame, linked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, that with the smallest id, with all its columns.
+    """One row of each component, one with its smallest id, with all its columns.
 
-    Rows that repeat an id are one document, of which the first text stays; rows with a null id all stay.
+    `linked` is what `link_documents` gives with `name_rows`. An id may repeat with other texts: each
+    row goes by the component of its own text, so a text that links with nothing kept stays, whatever
+    its id. Of rows with the smallest id in one component one stays, by a hash of the text; of rows
+    without words that repeat an id one stays. Rows with a null id all stay.
     """
-    roots = linked.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    named = (docs.join(roots, id_col, "left_semi").withColumn("_turn", turn).where("_turn = 1")
-             .select(*(F.col(f"`{c}`") for c in docs.columns)))
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    first = (linked.where(F.col(id_col) == F.col("component_id")).groupBy(id_col, "root")
+             .agg(F.min("text_hash").alias("_text_hash")).select(id_col, "_text_hash").distinct())
+    turn = F.row_number().over(Window.partitionBy(id_col, "_text_hash").orderBy("_text_hash"))
+    kept = (docs.withColumn("_text_hash", F.xxhash64(text_col)).join(first, [id_col, "_text_hash"], "left_semi")
+            .withColumn("_turn", turn).where("_turn = 1").select(*(F.col(f"`{c}`") for c in docs.columns)))
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

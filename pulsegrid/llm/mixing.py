@@ -9,11 +9,13 @@ All of it is DataFrame code.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulsegrid.operators.ordered import ordered_index
 from pulsegrid.session import stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
+RUN = 65_536  # equal rows are numbered in runs of so many, as a sequence is one array
 NEAR = 1e-9  # a fraction this close to 0 or 1 is taken for it
-ITEM = "struct<h:bigint,id:{id},size:bigint,p:double>"
+ITEM = "struct<h:bigint,id:{id},k:int,size:bigint,p:double>"
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
@@ -24,15 +26,20 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
 
 
+def counted(sized: DataFrame) -> DataFrame:
+    """Rows that agree in id, source and size as one, with their number `rows`."""
+    return sized.groupBy("id", "source", "size").agg(F.count("*").alias("rows"))
+
+
 def share_targets(sized: DataFrame, share: float, cap: float, weights: tuple[float, ...]) -> DataFrame:
-    """Words each source gives: source, n, source_size, target.
+    """Words each source gives, out of counted rows: source, n, source_size, target.
 
     Sources by code point, null last, weigh `weights` in turn and share `share` times all sizes; a
     target stops at `cap` times its source. Ordered by cap per weight, the first source whose
     fair share of what is left fits its cap sets the level for itself and all after it. The
     windows run over one row per source.
     """
-    stats = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
+    stats = sized.groupBy("source").agg(F.sum("rows").alias("n"), F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (number % len(weights)).cast("int") + 1)
     whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -69,8 +76,8 @@ def _fold(id_type: str) -> Column:
     def moved(up_sign: str, down_sign: str) -> str:
         """Both documents with their new fractions, the open one last."""
         pair = (f"named_struct('a', {near(f'{a}.p {up_sign} m / {a}.size')}, 'x', {near(f'x.p {down_sign} m / x.size')})")
-        new_a = f"named_struct('h', {a}.h, 'id', {a}.id, 'size', {a}.size, 'p', q.a)"
-        new_x = "named_struct('h', x.h, 'id', x.id, 'size', x.size, 'p', q.x)"
+        new_a = f"named_struct('h', {a}.h, 'id', {a}.id, 'k', {a}.k, 'size', {a}.size, 'p', q.a)"
+        new_x = "named_struct('h', x.h, 'id', x.id, 'k', x.k, 'size', x.size, 'p', q.x)"
         return (f"transform(array({pair}), q -> CASE WHEN q.a > 0D AND q.a < 1D THEN array({new_x}, {new_a}) "
                 f"ELSE array({new_a}, {new_x}) END)[0]")
 
@@ -97,39 +104,43 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[fl
     id and size, so reruns agree.
 
     A null text has size 0 and is taken whole or not at all, at no cost; a null source is the
-    last source; null ids and repeated rows are drawn like others. A hot source is many blocks of about
+    last source. Rows that agree in id, source and size are counted before they are shuffled and then
+    numbered, and the number is part of the draw, so they spread over blocks like others, however many;
+    so do rows without id. A hot source is many blocks of about
     `block` rows, and one row of each goes on to the next level.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    sized = stored(sizes(docs, id_col, source_col, text_col), "mix-sizes")
+    sized = stored(counted(sizes(docs, id_col, source_col, text_col)), "mix-sizes")
     targets = stored(share_targets(sized, share, cap, weights), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(rate + NEAR).cast("double")
     fraction = F.greatest(rate - base, F.lit(0.0))
     rows = (sized.join(targets.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own")))
             .drop("own").withColumn("base", base)
+            .withColumn("run", F.explode(F.sequence(F.lit(0), ((F.col("rows") - 1) / RUN).cast("int"))))
+            .withColumn("k", F.explode(F.sequence(F.col("run") * RUN + 1, F.least("rows", (F.col("run") + 1) * RUN).cast("int"))))
             .withColumn("p", F.when((fraction > NEAR) & (F.col("size") > 0), fraction).otherwise(0.0)))
     keys = ["source", "source_size", "target", "base"]
     done = [rows.where("p = 0").select("id", *keys, "size", "p")]
-    still = rows.where("p > 0").select("id", *keys, "size", "p", "n")
+    still = rows.where("p > 0").select("id", *keys, "k", "size", "p", "n")
     most = targets.agg(F.max("n")).first()[0] or 0
     level = 0
     while True:
         most = -(-most // block)
         dealt = (still.withColumn("n", F.ceil(F.col("n") / block))
-                 .withColumn("h", F.xxhash64(F.lit(seed), F.lit(level), "source", "id", "size"))
+                 .withColumn("h", F.xxhash64(F.lit(seed), F.lit(level), "source", "id", "size", "k"))
                  .withColumn("block", F.pmod("h", F.greatest("n", F.lit(1)))))
         folded = (dealt.groupBy(*keys, "n", "block")
-                  .agg(F.array_sort(F.collect_list(F.struct("h", "id", "size", "p"))).alias("items"))
+                  .agg(F.array_sort(F.collect_list(F.struct("h", "id", "k", "size", "p"))).alias("items"))
                   .select(*keys, "n", F.explode(_fold(id_type)).alias("item"))
-                  .select("item.id", *keys, "item.size", "item.p", "n"))
+                  .select("item.id", *keys, "item.k", "item.size", "item.p", "n"))
         table = stored(folded, f"mix-level-{level}")
         whole = "p = 0 OR p = 1"
         level += 1
         if most <= 1:
-            done.append(table.drop("n"))
+            done.append(table.drop("n", "k"))
             break
-        done.append(table.where(whole).drop("n"))
+        done.append(table.where(whole).drop("n", "k"))
         still = table.where(f"NOT ({whole})")
     out = done[0]
     for part in done[1:]:
@@ -152,12 +163,22 @@ def take_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_c
         return F.concat_ws("\x00", *parts, size.cast("string"))
 
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0))
-    counts = (mixed.select(key(id_col, "source", F.col("size")).alias("_mix_key"), F.round("copies").cast("int").alias("_mix_copies"))
-              .groupBy("_mix_key").agg(F.array_sort(F.collect_list("_mix_copies")).alias("_mix_copies"))
-              .where("exists(_mix_copies, c -> c > 0)"))
-    joined = docs.withColumn("_mix_key", key(id_col, source_col, size)).join(counts, "_mix_key")
-    turn = F.row_number().over(Window.partitionBy("_mix_key").orderBy(F.xxhash64(text_col)))
-    times = F.element_at("_mix_copies", turn)
-    return (joined.withColumn("_mix_copies", times).where("_mix_copies > 0")
-            .withColumn("_mix_copies", F.explode(F.sequence(F.lit(1), "_mix_copies")))
-            .select(*(F.col(f"`{c}`") for c in docs.columns)))
+    held = stored(mixed.select(key(id_col, "source", F.col("size")).alias("_mix_key"), F.round("copies").cast("int").alias("_mix_copies"))
+                  .groupBy("_mix_key", "_mix_copies").agg(F.count("*").alias("n"))
+                  .groupBy("_mix_key").agg(F.sum("n").alias("_mix_n"), F.array_sort(F.collect_list(F.struct(
+                      F.col("_mix_copies").alias("copies"), "n"))).alias("_mix_held")), "mix-copies")
+    taken = held.where("exists(_mix_held, h -> h.copies > 0)")
+    keyed = docs.withColumn("_mix_key", key(id_col, source_col, size))
+    alone = keyed.join(taken.where("_mix_n = 1"), "_mix_key").withColumn("_mix_copies", F.col("_mix_held")[0]["copies"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = alone.select(*columns, "_mix_copies")
+    if not taken.where("_mix_n > 1").isEmpty():
+        # rows that agree take the copies of their key by rank, in pieces of a range, as there may be any number of them
+        several = keyed.join(taken.where("_mix_n > 1"), "_mix_key")
+        several = stored(several.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-several")
+        ranked = ordered_index(several, ["_mix_key"], [F.xxhash64(text_col), F.col("_mix_row")], "_mix_rank")
+        own = F.expr("aggregate(_mix_held, struct(_mix_rank AS r, -1 AS c), (a, h) -> struct("
+                     "a.r - h.n AS r, if(a.c < 0 AND a.r < h.n, h.copies, a.c) AS c), a -> a.c)")
+        out = out.unionByName(ranked.withColumn("_mix_copies", own).select(*columns, "_mix_copies"))
+    return (out.where("_mix_copies > 0").withColumn("_mix_copies", F.explode(F.sequence(F.lit(1), "_mix_copies")))
+            .select(*columns))

@@ -94,12 +94,27 @@ def test_nulls_repeats_and_empty_tables(spark):
     n = len(shingles(long))
     assert got == [(False, 2, 0, 2), (False, 3, 0, 3), (False, 4, 0, 4), (False, 5, n, 5), (False, 6, n, 5),
                    (False, 6, n, 5), (False, 7, 1, 7), (False, 9, 1, 7), (True, 0, n, 5)]
-    kept = jaccard_join.keep_one(docs, jaccard_join.link_documents(docs)).collect()
+    kept = jaccard_join.keep_one(docs, jaccard_join.link_documents(docs, name_rows=True)).collect()
     assert sorted(r.doc_id or -1 for r in kept) == [-1, 2, 3, 4, 5, 7]
     assert kept[0].asDict().keys() == {"doc_id", "text", "sig"}
     assert jaccard_join.link_documents(docs.where("false")).count() == 0
 
 
+def test_keep_one_goes_by_rows(spark):
+    """An id that repeats with other texts loses none of them; each group keeps one row."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a.replace("a59", "other")
+    for rows, want in (([(3, a), (5, a), (5, b)], {(3, a), (5, b)}), ([(5, b), (5, a), (3, near)], {(3, near), (5, b)}),
+                       ([(5, b), (5, c), (5, b), (7, c)], {(5, b), (5, c)}), ([(1, ""), (1, None), (2, "")], None)):
+        docs = spark.createDataFrame([(d, t, None) for d, t in rows], DOCS)
+        for count_links in (False, True):
+            kept = jaccard_join.keep_one(docs, jaccard_join.link_documents(docs, name_rows=True, count_links=count_links)).collect()
+            if want is None:
+                assert sorted(r.doc_id for r in kept) == [1, 2]
+            else:
+                assert {(r.doc_id, r.text) for r in kept} == want and len(kept) == len(want)
+
+
 def test_shingles_do_not_depend_on_their_place():
     texts = ["one two three four five six", "x one two three four five six", "É one two three four five"]
     alone = [shingle_sets([t])[0] for t in texts]

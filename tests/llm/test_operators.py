@@ -270,10 +270,27 @@ def test_mix(spark):
 
 
 def test_draws_keep_expectations(spark):
-    """Over many seeds a document's copies come near the rate of its source."""
-    docs = spark.createDataFrame([(i, "w " * (1 + i % 5), s) for i in range(12) for s in "ab"], "doc_id long, text string, source string")
-    runs = [mixing.mix(docs, seed=s, block=4).where("source = 'b'").groupBy().avg("copies").first()[0] for s in range(3)]
-    assert max(runs) - min(runs) < 0.2
+    """Each document's copies come near the rate over 200 sources that all hold the same documents."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i * i % 7), f"s{s}") for i in range(12) for s in range(200)],
+                                 "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, weights=(1.0,), block=4).groupBy("doc_id").avg("copies").collect()
+    assert len(mixed) == 12 and all(abs(r[1] - 1.5) < 0.15 for r in mixed)
+
+
+def test_equal_rows_are_dealt_over_blocks(spark, monkeypatch):
+    """A million equal rows without id, and texts of one size: no block is larger than others."""
+    docs = spark.range(1_000_000).selectExpr("CAST(NULL AS long) AS doc_id", "'one two three' AS text", "'a' AS source")
+    docs = docs.unionByName(spark.range(1000).selectExpr("id AS doc_id", "'x y' AS text", "'b' AS source"))
+    mixed = mixing.mix(docs, weights=(1.0,)).groupBy("source", "size").agg(
+        F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("copies").alias("most"))
+    for r in mixed.collect():
+        assert r.n == (1_000_000 if r.source == "a" else 1000) and abs(r.taken - r.target) <= r["size"] and r.most <= 2
+    small = docs.where("source = 'a'").limit(5000)
+    monkeypatch.setattr(mixing, "RUN", 100)
+    assert mixing.mix(small, weights=(1.0,)).select("doc_id").count() == 5000
+    few = mixing.mix(small, weights=(1.0,))
+    taken = mixing.take_mix(small, few)
+    assert taken.count() == few.agg(F.sum(F.round("copies").cast("long"))).first()[0] and taken.columns == small.columns
 
 
 # 10
