@@ -7,18 +7,19 @@ from pulsegrid.session import stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier finds toxic go."""
+    """Documents that the classifier finds toxic go; null texts count as empty, repeated rows go or stay together."""
     model = toxicity.learn(docs, catalog.table(spark, sf_dir, "labels"))
     return toxicity.reject_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their shingles, the one with the smallest id stays."""
-    return jaccard_join.keep_one(docs, stored(jaccard_join.link_documents(docs, count_links=False), "near-copies"))
+    """Of documents linked by their shingles, the one with the smallest id stays; rows without id all stay."""
+    linked = jaccard_join.link_documents(docs, count_links=False, name_rows=True)
+    return jaccard_join.keep_one(docs, stored(linked, "near-copies"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts become a mark; n_chars follows."""
+    """Secrets in texts become a mark; n_chars follows. Null texts stay null, repeated rows repeated."""
     return secret_scan.redact_secrets(docs)
 
 
@@ -28,7 +29,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of binary length, each of one document."""
+    """Token sequences of binary length, each of one document; a null text is its end mark alone, and
+    repeated rows are packed each."""
     return packing.pack(docs, **catalog.byte_pieces())
 
 
