@@ -167,7 +167,8 @@ def take_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_c
                   .groupBy("_mix_key", "_mix_copies").agg(F.count("*").alias("n"))
                   .groupBy("_mix_key").agg(F.sum("n").alias("_mix_n"), F.array_sort(F.collect_list(F.struct(
                       F.col("_mix_copies").alias("copies"), "n"))).alias("_mix_held")), "mix-copies")
-    taken = held.where("exists(_mix_held, h -> h.copies > 0)")
+    # it grows with the documents, so it is merged and never broadcast
+    taken = held.where("exists(_mix_held, h -> h.copies > 0)").hint("merge")
     keyed = docs.withColumn("_mix_key", key(id_col, source_col, size))
     alone = keyed.join(taken.where("_mix_n = 1"), "_mix_key").withColumn("_mix_copies", F.col("_mix_held")[0]["copies"])
     columns = [F.col(f"`{c}`") for c in docs.columns]
