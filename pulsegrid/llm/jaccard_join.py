@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pulsegrid.llm.arrow import column_type, pieces, texts
+from pulsegrid.llm.arrow import column_type, parted, pieces, texts
 from pulsegrid.llm.shingles import shingle_sets
 from pulsegrid.session import stored
 
@@ -67,7 +67,7 @@ def _classes(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
-        for batch in batches:
+        for batch in parted(batches, "text"):
             values = texts(batch, "text")
             for part in pieces(values, 400_000):
                 sets = shingle_sets(values[part])
@@ -114,7 +114,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
         bits[at:at + width] = np.frombuffer(bytes(row["bits"]), np.uint8)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches, "text"):
             spot = batch.column(0).to_numpy() - 1
             own = np.flatnonzero(bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
             values = texts(batch.take(pa.array(own)), "text")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrid.llm.arrow import column_type
+from pulsegrid.llm.arrow import column_type, parted
 
 # A sequence id holds the bucket, the task that made it, and its number there.
 BUCKET_BITS, TASK_BITS, NUMBER_BITS = 6, 25, 32
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int] | No
         if task >> TASK_BITS:
             raise ValueError("too many tasks for a sequence id")
         made = [0] * longest.bit_length()
-        for batch in batches:
+        for batch in parted(batches, 1):
             at: list[int] = []
             rows: list[tuple[int, ...]] = []
             ids_of: list[np.ndarray] = []

@@ -14,7 +14,7 @@ from math import log2
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrid.llm.arrow import column_type
+from pulsegrid.llm.arrow import column_type, parted
 
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -207,7 +207,7 @@ def redact_secrets(docs: DataFrame, least_bits: float = 36.0, mask: str = "[SECR
     """
 
     def mask_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches, "text"):
             old = batch.column("text").to_pylist()
             new = [t and redact(t, least_bits, mask) for t in old]
             changed = [a != b for a, b in zip(old, new)]

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrid.llm.arrow import column_type, pieces, texts
+from pulsegrid.llm.arrow import column_type, parted, pieces, texts
 from pulsegrid.session import stored
 
 N_GRAMS = (3, 4, 5)
@@ -269,7 +269,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches, "text"):
             p = model.probability(*worst_windows(model, texts(batch, "text")))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], names=["id", "score"])
 
@@ -283,7 +283,7 @@ def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
     """The rows whose text is not toxic, with all their columns as they were."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches, text_col):
             p = model.probability(*worst_windows(model, texts(batch, text_col)))
             yield batch.filter(pa.array(p < 0.5))
 
