@@ -6,7 +6,9 @@ of distinct scores and for any share of rows in one group.
 """
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulsegrid.functions import fixed_values as fv
 from pulsegrid.functions.scalar import ensemble_mean, hours_between
 from pulsegrid.operators.keys import merge_scores
-from pulsegrid.operators.ordered import PIECE, percentiles, range_pieces, running_sums
+from pulsegrid.operators.ordered import PIECE, _same, percentiles, range_pieces, running_sums
 from pulsegrid.operators.quality import with_row
 from pulsegrid.session import stored
 
@@ -276,8 +278,13 @@ def _tied(pdf: pd.DataFrame, draws: int, seed: int) -> Iterator[tuple[np.ndarray
 
 def _walk_entities(pdf: pd.DataFrame, draws: int, seed: int, tp: np.ndarray, tn: np.ndarray):
     """`_walk` with one weight per entity and replica, for all rows of the entity."""
+    return _down(_tied(pdf, draws, seed), draws, tp, tn)
+
+
+def _down(tied: Iterable[tuple[np.ndarray, np.ndarray]], draws: int, tp: np.ndarray, tn: np.ndarray):
+    """Go down the weighted positives and negatives of distinct scores, as `_walk` does."""
     lost, precision = np.zeros(draws), np.zeros(draws)
-    for pos, neg in _tied(pdf, draws, seed):
+    for pos, neg in tied:
         above_p, above_n = tp + np.cumsum(pos, 0), tn + np.cumsum(neg, 0)
         seen = above_p + above_n
         lost += (pos * (above_n - neg / 2.0)).sum(0)
@@ -286,6 +293,66 @@ def _walk_entities(pdf: pd.DataFrame, draws: int, seed: int, tp: np.ndarray, tn:
     return tp, tn, lost, precision
 
 
+SCORES_AT_ONCE = 4096  # up to so many distinct scores of all groups keep a total per replica each
+ENTITY_ROWS = 200_000  # counted rows that a task weighs
+
+
+def _by_entity(counts: DataFrame, scores: DataFrame, groups: list[str], draws: int, seed: int) -> DataFrame:
+    """Replicas of whole entities where distinct scores are few: rows are dealt by entity, however many share a
+    score. A task draws the weights of an entity once, for all its rows, and leaves a total per score and replica;
+    the totals are walked down once per group."""
+    number = (F.row_number().over(Window.orderBy(*groups, "score")) - 1).alias("_at")  # SCORES_AT_ONCE rows at most
+    numbered = stored(scores.select(*groups, "score", "_n", number), "numbered")
+    n_scores, n_rows = numbered.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    same = _same(counts, numbered, [*groups, "score"])
+    dealt = counts.join(F.broadcast(numbered), same).select("_at", "_entity", "pos", "neg")
+    dealt = dealt.repartition(max(1, -(-n_rows // ENTITY_ROWS)), "_entity").sortWithinPartitions("_entity")
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = {c: np.zeros((n_scores, draws)) for c in ("pos", "neg")}
+        for pdf in batches:
+            column, entities = pd.factorize(pdf["_entity"])
+            for start in range(0, len(entities), 512):
+                rows = pdf[(column >= start) & (column < start + 512)]
+                own = entities[start:start + 512]
+                weights = np.stack([entity_weights(e, draws, seed) for e in own])
+                at, line = np.unique(rows["_at"].to_numpy(), return_inverse=True)
+                for c, total in totals.items():
+                    table = np.zeros((len(at), len(own)))
+                    np.add.at(table, (line, column[rows.index] - start), rows[c].to_numpy(float))
+                    total[at] += table @ weights
+        for start in range(0, n_scores, 64):
+            seen = [k for k in range(start, min(start + 64, n_scores)) if totals["pos"][k].any() or totals["neg"][k].any()]
+            if seen:
+                yield pd.DataFrame({"_at": seen, **{c: list(total[seen]) for c, total in totals.items()}})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_at": pdf["_at"].iloc[:1], **{c: [np.sum(pdf[c].to_list(), 0)] for c in ("pos", "neg")}})
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("score", ascending=False)
+        pos, neg = (np.stack(pdf[c].to_list()) for c in ("pos", "neg"))
+        tp, tn, lost, precision = _down([(pos, neg)], draws, np.zeros(draws), np.zeros(draws))
+        made = {"replica": range(draws), "lost": lost, "prec": precision, "p": tp, "n": tn}
+        return pd.DataFrame({**{g: [pdf[g].iloc[0]] * draws for g in groups}, **made})
+
+    kinds = "_at long, pos array<double>, neg array<double>"
+    total = dealt.mapInPandas(weigh, kinds).groupBy("_at").applyInPandas(add, kinds)
+    names = ", ".join(f"{n} {t}" for n, t in scores.select(*groups).dtypes)
+    rows = total.join(F.broadcast(numbered.drop("_n")), "_at").where(reduce(and_, [F.col(g).isNotNull() for g in groups]))
+    summed = rows.groupBy(*groups).applyInPandas(walk, f"{names}, replica int, lost double, prec double, p double, n double")
+    return _from_sums(summed, groups)
+
+
+def _from_sums(summed: DataFrame, groups: list[str]) -> DataFrame:
+    # draws with one class only have no metric
+    return summed.where("p > 0 and n > 0").select(
+        *groups, "replica",
+        (1 - F.col("lost") / (F.col("p") * F.col("n"))).alias("auroc"),
+        (F.col("prec") / F.col("p")).alias("average_precision"),
+    )
+
+
 def bootstrap_replicas(df: DataFrame, groups: list[str], y: str, score: str,
                        draws: int = fv.BOOTSTRAP_DRAWS, seed: int = fv.SEED,
                        cluster: str | None = None) -> DataFrame:
@@ -295,7 +362,7 @@ def bootstrap_replicas(df: DataFrame, groups: list[str], y: str, score: str,
     Poisson(count) weight and rows are counted per score first. Rows of one entity are not
     independent: with `cluster`, the column that names it, a replica draws one weight per entity
     (`entity_weights` of its text form, a null as the empty text), and rows are counted
-    per score and entity. Scores are cut into
+    per score and entity; with few distinct scores they are dealt by entity (`_by_entity`). Else scores are cut into
     ranges, one per task; a first pass leaves one total per range and replica, a second
     pass adds up each range's share on top of the totals above it. Rows are never
     multiplied by the number of replicas in a shuffle.
@@ -305,6 +372,10 @@ def bootstrap_replicas(df: DataFrame, groups: list[str], y: str, score: str,
         counts = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(
             *groups, F.col(score).alias("score"), F.coalesce(F.col(cluster).cast("string"), F.lit("")).alias("_entity")
         ).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+        counts = stored(counts, "entity-counts")
+        scores = stored(counts.groupBy(*groups, "score").agg(F.count("*").alias("_n")), "scores")
+        if scores.count() <= SCORES_AT_ONCE:
+            return _by_entity(counts, scores, groups, draws, seed)
     else:
         walk = _walk
         counts = score_counts(df, groups, y, score).withColumn("_id", F.xxhash64(*groups, "score"))
@@ -347,12 +418,7 @@ def bootstrap_replicas(df: DataFrame, groups: list[str], y: str, score: str,
         F.sum("_z._lost").alias("lost"), F.sum("_z._prec").alias("prec")
     )
     full = each.groupBy(*groups, "replica").agg(F.sum("tp").alias("p"), F.sum("tn").alias("n"))
-    # draws with one class only have no metric
-    return summed.join(full.where("p > 0 and n > 0"), [*groups, "replica"]).select(
-        *groups, "replica",
-        (1 - F.col("lost") / (F.col("p") * F.col("n"))).alias("auroc"),
-        (F.col("prec") / F.col("p")).alias("average_precision"),
-    )
+    return _from_sums(summed.join(full, [*groups, "replica"]), groups)
 
 
 def bootstrap_ci(df: DataFrame, groups: list[str], y: str, score: str,

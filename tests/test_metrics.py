@@ -170,3 +170,20 @@ def test_ties_over_batches():
     small = [v[:1000] for v in mt._walk_entities(pdf, 1_000_000, 1, zero, zero)]
     whole = mt._walk_entities(pdf, 1000, 1, zero[:1000], zero[:1000])
     assert all(np.allclose(a, b) for a, b in zip(small, whole))
+
+
+def test_one_score_of_all_entities_is_spread(spark, monkeypatch):
+    """Entities that share a score are weighed in several tasks, each entity once; by ranges it is the same."""
+    rnd = random.Random(2)
+    data = [("g", i % 400, int(rnd.random() < 0.4), 0.5 if i % 5 else round(rnd.random(), 1)) for i in range(4000)]
+    df = spark.createDataFrame(data, "g string, e int, y int, s double")
+    monkeypatch.setattr(mt, "ENTITY_ROWS", 100)
+    replicas = mt.bootstrap_replicas(df, ["g"], "y", "s", 20, 5, "e")
+    dealt = [n for n in replicas._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in n]
+    assert any("_entity" in n for n in dealt)
+    got = {r["replica"]: r for r in replicas.collect()}
+    monkeypatch.setattr(mt, "SCORES_AT_ONCE", 0)
+    ranges = {r["replica"]: r for r in mt.bootstrap_replicas(df, ["g"], "y", "s", 20, 5, "e").collect()}
+    assert got.keys() == ranges.keys() and len(got) == 20
+    for r, row in ranges.items():
+        assert got[r]["auroc"] == pytest.approx(row["auroc"]) and got[r]["average_precision"] == pytest.approx(row["average_precision"])
