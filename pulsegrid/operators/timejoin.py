@@ -79,12 +79,23 @@ def assign_interval(points: DataFrame, intervals: DataFrame, key: str, ts: str,
     return found.drop("_gap")
 
 
+HOURS_A_TASK = 1_000_000
+
+
+def _spread_by_hours(intervals: DataFrame, key: str) -> DataFrame:
+    """Deal intervals _a to _b so that a task makes about HOURS_A_TASK hours: the few bytes of an interval tell
+    nothing about its hours, and adaptive execution would put all of them into a few tasks."""
+    kept = stored(intervals, "intervals")
+    hours = kept.agg(F.sum(F.timestamp_diff("HOUR", F.col("_a"), F.col("_b")) + 1)).first()[0] or 0
+    return kept.repartition(-(-hours // HOURS_A_TASK), key, "_a") if hours > HOURS_A_TASK else kept
+
+
 def hours_covered(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """The distinct whole hours h with start <= h <= end, per key."""
     valid = intervals.select(key, start, end).distinct().select(
         key, ceil_hour(start).alias("_a"), F.date_trunc("hour", F.col(end)).alias("_b")
-    ).where(F.col("_a") <= F.col("_b"))
-    return valid.select(
+    ).where(F.col("_a") <= F.col("_b")).distinct()
+    return _spread_by_hours(valid, key).select(
         key, F.explode(F.sequence("_a", "_b", F.expr("interval 1 hour"))).alias("hour")
     ).distinct()
 
@@ -148,15 +159,12 @@ def asof_fill(grid: DataFrame, points: DataFrame, key: str, ts: str, name: str,
         .agg(F.max_by(value, last_order(ts, tie, [value])).alias("_value"))
     )
     rest = [c for c in grid.columns if c not in (key, "hour")]
-    entry = F.when(F.col("_name").isNotNull(), F.struct("_name", "_value"))
     both = (
         grid.withColumn("_grid", F.lit(True))
         .unionByName(latest, allowMissingColumns=True)
         .groupBy(key, "hour")
-        .agg(F.max("_grid").alias("_grid"),
-             F.map_from_entries(F.collect_list(entry)).alias("_known"),
-             *[F.first(c, ignorenulls=True).alias(c) for c in rest])
-        .select(key, "hour", "_grid", *rest, *[F.col("_known")[n].alias(n) for n in names])
+        .agg(F.max("_grid").alias("_grid"), *[F.first(c, ignorenulls=True).alias(c) for c in rest],
+             *[F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in names])  # one row each
     )
     return grid_forward_fill(stored(both, "asof-grid"), [key], "hour", names).where("_grid").drop("_grid")
 

@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
@@ -182,3 +183,14 @@ def test_sweep_of_a_hot_day(spark):
     late = points.selectExpr("pid", "k", "t + interval 5 hours 59 minutes AS t").where("t < timestamp_micros(21600000000)")
     got = tj.assign_interval(late, ivs, "k", "t", "iid", "s", "e", grace_hours=0)
     assert got.where("covered").count() == late.count()
+
+
+def test_hours_are_made_in_many_tasks(spark, monkeypatch):
+    """Intervals are dealt by the hours they make, not by their bytes."""
+    monkeypatch.setattr(tj, "HOURS_A_TASK", 100)
+    at = dt.datetime(2024, 1, 1)
+    spans = spark.createDataFrame([(k, at, at + dt.timedelta(hours=49)) for k in range(40)], "k long, a timestamp, b timestamp").coalesce(1)
+    made = tj.hours_covered(spans, "k", "a", "b")
+    assert made.count() == 40 * 50
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString() and "hashpartitioning(k" in made._jdf.queryExecution().executedPlan().toString()
+    assert any(", 20), REPARTITION_BY_NUM" in n for n in made._jdf.queryExecution().executedPlan().toString().split("\n"))
