@@ -183,3 +183,16 @@ def test_last_takes_ids_of_all_64_bits(spark):
     assert got == {**{k: 1.0 for k in range(len(ends))}, 100: float(len(ends) - 1), 200: 1.0}
     first = {r["k"]: r["v"] for r in win.first_by(df, ["k"], "t", "id").collect()}
     assert first == {**{k: 0.0 for k in range(len(ends))}, 100: 0.0, 200: 0.0}
+
+
+def test_lags_reach_over_blocks(spark):
+    """Rows at the border of a block are seen from the next one; nothing else is copied."""
+    df = spark.createDataFrame([(k, at(i * 13), None if i % 5 == 0 else float(i)) for k in (1, None) for i in range(23)], "k bigint, window_start_time timestamp, x double")
+    for lags in ([1, 3], [4], [-2, 0, 2], [9]):
+        got = {(r["k"], r["window_start_time"]): r for r in win.lagged(df, "k", ["x"], lags, block=4).collect()}
+        assert len(got) == 46
+        for k in (1, None):
+            xs = [None if i % 5 == 0 else float(i) for i in range(23)]
+            for i in range(23):
+                r = got[k, at(i * 13)]
+                assert r["x"] == xs[i] and [r[f"x_lag{n}"] for n in lags] == [xs[i - n] if 0 <= i - n < 23 else None for n in lags]
