@@ -64,60 +64,77 @@ def latency_stats(latency: str = "latency_ms") -> list[Column]:
     ]
 
 
-def sliding_features(df: DataFrame, key: str, ts: str, signal: str, value: str,
-                     signals: list[str] = fv.SIGNALS, tie: str | None = None,
-                     width: str = fv.WINDOW_WIDTH, slide: str = fv.WINDOW_SLIDE,
-                     latency: str | None = None, stats: list[str] = fv.STATS) -> DataFrame:
-    """One row per entity and sliding window: the statistics of each signal, bounds,
-    event count and, when asked, latency.
-
-    A stream cannot pivot and may shuffle only once, so it runs the conditional
-    aggregates. A batch first aggregates per (entity, window, signal), where each
-    row updates one set of aggregates and not one per signal, and then turns those few rows
-    sideways; both give the same table.
+def signal_windows(df: DataFrame, key: str, ts: str, signal: str, value: str,
+                   signals: list[str] = fv.SIGNALS, tie: str | None = None,
+                   width: str = fv.WINDOW_WIDTH, slide: str = fv.WINDOW_SLIDE,
+                   latency: str | None = None, stats: list[str] = fv.STATS) -> DataFrame:
+    """One row per entity, sliding window and signal, for `widen`; rows of other signals count as a null one.
+
+    Each row updates one set of aggregates and not one per signal, and a stream's state is as wide
+    as one signal. All signals of a window close in the same micro-batch.
     """
-    window = F.window(F.col(ts), width, slide)
-    if df.isStreaming:
-        aggs = signal_stats(signals, signal, value, ts, tie, key, stats)
-        aggs += latency_stats(latency) if latency else [F.count("*").alias("n_events")]
-        wide = df.groupBy(key, window).agg(*aggs)
-    else:
-        known = F.when(F.col(signal).isin(signals), F.col(signal)).alias("_signal")
-        order = last_order(ts, tie, [key, signal, value])
-        long = df.groupBy(key, window, known).agg(
-            *[a.alias(f"_{n}")
-              for n, a in _stats(F.col(value), _seconds(ts), order, stats).items()],
-            F.count("*").alias("_n"),
-            *([F.sum(latency).alias("_lsum"), F.count(latency).alias("_lcount"),
-               F.min(latency).alias("_lmin"), F.max(latency).alias("_lmax")] if latency else []),
-        )
-        # at most one entry per signal: far smaller than signals x statistics buffers
-        entry = F.struct("_signal", F.struct(*[F.col(f"_{n}").alias(n) for n in stats]))
-        aggs = [F.map_from_entries(
-            F.collect_list(F.when(F.col("_signal").isNotNull(), entry))
-        ).alias("_by_signal")]
-        if latency:
-            aggs += [
-                F.try_divide(F.sum("_lsum"), F.sum("_lcount")).alias("avg_latency_ms"),
-                F.min("_lmin").alias("min_latency_ms"),
-                F.max("_lmax").alias("max_latency_ms"),
-            ]
-        aggs.append(F.sum("_n").alias("n_events"))
-        wide = long.groupBy(key, "window").agg(*aggs).select("*", *[
-            F.col("_by_signal")[s][n].alias(f"{s}_{n}") for s in signals for n in stats
-        ])
+    known = F.when(F.col(signal).isin(signals), F.col(signal)).alias("_signal")
+    order = last_order(ts, tie, [key, signal, value])
+    return df.groupBy(key, F.window(F.col(ts), width, slide), known).agg(
+        *[a.alias(f"_{n}") for n, a in _stats(F.col(value), _seconds(ts), order, stats).items()],
+        F.count("*").alias("_n"),
+        *([F.sum(latency).alias("_lsum"), F.count(latency).alias("_lcount"),
+           F.min(latency).alias("_lmin"), F.max(latency).alias("_lmax")] if latency else []),
+    )
+
+
+def widen(long: DataFrame, key: str, signals: list[str] = fv.SIGNALS, latency: bool = False,
+          stats: list[str] = fv.STATS) -> DataFrame:
+    """The rows of `signal_windows` turned sideways: a table, or one micro-batch of a stream."""
+    # at most one entry per signal: far smaller than signals x statistics buffers
+    entry = F.struct("_signal", F.struct(*[F.col(f"_{n}").alias(n) for n in stats]))
+    aggs = [F.map_from_entries(
+        F.collect_list(F.when(F.col("_signal").isNotNull(), entry))
+    ).alias("_by_signal")]
+    if latency:
+        aggs += [
+            F.try_divide(F.sum("_lsum"), F.sum("_lcount")).alias("avg_latency_ms"),
+            F.min("_lmin").alias("min_latency_ms"),
+            F.max("_lmax").alias("max_latency_ms"),
+        ]
+    wide = long.groupBy(key, "window").agg(*aggs, F.sum("_n").alias("n_events")).select("*", *[
+        F.col("_by_signal")[s][n].alias(f"{s}_{n}") for s in signals for n in stats
+    ])
+    return _named(wide, key, signals, latency, stats)
+
+
+def _named(wide: DataFrame, key: str, signals: list[str], latency: bool, stats: list[str]) -> DataFrame:
     names = [f"{s}_{n}" for s in signals for n in stats]
     if latency:
         names += ["avg_latency_ms", "min_latency_ms", "max_latency_ms"]
-    names.append("n_events")
     return wide.select(
         key,
         F.col("window.start").alias("window_start_time"),
         F.col("window.end").alias("window_end_time"),
-        *names,
+        *names, "n_events",
     )
 
 
+def sliding_features(df: DataFrame, key: str, ts: str, signal: str, value: str,
+                     signals: list[str] = fv.SIGNALS, tie: str | None = None,
+                     width: str = fv.WINDOW_WIDTH, slide: str = fv.WINDOW_SLIDE,
+                     latency: str | None = None, stats: list[str] = fv.STATS) -> DataFrame:
+    """One row per entity and sliding window: the statistics of each signal, bounds,
+    event count and, when asked, latency.
+
+    A stream cannot pivot and may shuffle only once, so it runs the conditional
+    aggregates; one whose sink takes micro-batches runs `signal_windows` and leaves `widen` to the
+    sink, as a batch does with its few rows per signal. All give the same table.
+    """
+    if not df.isStreaming:
+        long = signal_windows(df, key, ts, signal, value, signals, tie, width, slide, latency, stats)
+        return widen(long, key, signals, bool(latency), stats)
+    aggs = signal_stats(signals, signal, value, ts, tie, key, stats)
+    aggs += latency_stats(latency) if latency else [F.count("*").alias("n_events")]
+    wide = df.groupBy(key, F.window(F.col(ts), width, slide)).agg(*aggs)
+    return _named(wide, key, signals, bool(latency), stats)
+
+
 def temporal_features(df: DataFrame, key: str, ts: str = "window_start_time") -> DataFrame:
     """Position, relative position and hours since the entity's first window."""
     out = grid_index(df, [key], ts, "window_idx", total="_total", first="_first")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pulsegrid.functions.fixed_values import STATS
 from pulsegrid.operators.labels import horizon_labels, stratified_folds
-from pulsegrid.operators.windows import sliding_features
+from pulsegrid.operators.windows import signal_windows, sliding_features, widen
 from pulsegrid.sources.readers import read_table
 
 KEY = "user_id"
@@ -49,6 +49,15 @@ def features(df: DataFrame, latency: str | None = None, stats: list[str] = STATS
                             latency=latency, stats=stats)
 
 
+def signal_features(df: DataFrame, latency: str | None = None) -> DataFrame:
+    """`features` before they are turned sideways, which `widened` does per micro-batch."""
+    return signal_windows(df, KEY, "ts", "event_type", "value", SIGNALS, tie="event_id", latency=latency)
+
+
+def widened(long: DataFrame, latency: bool = False) -> DataFrame:
+    return widen(long, KEY, SIGNALS, latency)
+
+
 def windows(spark: SparkSession, sf: str, stats: list[str] = STATS) -> DataFrame:
     return features(events(spark, sf), stats=stats)
 

@@ -912,7 +912,8 @@ def stream_multi_sink(spark, sf):
         stream.latency_csv_by_epoch(latency_path, KEY),
     ])
     run = stream.sink_batches(
-        b.features(latency, "latency_ms"), writer, stream.checkpoint_for(spark, "multi")
+        b.signal_features(latency, "latency_ms"), lambda batch, epoch: writer(b.widened(batch, True), epoch),
+        stream.checkpoint_for(spark, "multi")
     )
     stream.run_available(run)
     kept = spark.read.parquet(features_path).select(*IDS, "n_events")

@@ -183,3 +183,22 @@ def test_scoring_a_stream(spark, tmp_path):
     assert tidy(got.select(want.columns)) == tidy(want)
     assert 0 < len(seen) <= 10 and all(r["alert"] == 1 for r in seen)
     assert learn.score(spark.createDataFrame([(1,)], "icustay_id bigint"), model, "s").first()["s"] is not None
+
+
+def test_windows_turned_sideways_per_batch_are_the_batch(spark, tmp_path):
+    """State is kept per signal; each micro-batch turns its closed windows sideways, all signals of a window together."""
+    ev, path = make_events(spark, 400, 7).withColumn("latency_ms", F.floor("valuenum")), str(tmp_path / "in")
+    ev = ev.withColumn("signal_name", F.when(F.col("valuenum") % 7 == 0, None).when(F.col("valuenum") % 5 == 0, "other").otherwise(F.col("signal_name"))).checkpoint()
+    for lo, hi in ((0, 5), (5, 12), (12, 20)):
+        time.sleep(1.1)
+        ev.where(F.col("charttime").between(at(lo), at(hi - 1e-3))).coalesce(1).write.mode("append").parquet(path)
+    args = ["icustay_id", "charttime", "signal_name", "valuenum", SIG]
+    source = stream.with_watermark(stream.stream_files(spark, path, ev.schema, "parquet", "*.parquet", max_files=1))
+    write = stream.parquet_by_epoch(str(tmp_path / "out"))
+    run = stream.sink_batches(
+        win.signal_windows(source, *args, latency="latency_ms"), lambda batch, epoch: write(win.widen(batch, "icustay_id", SIG, True), epoch), str(tmp_path / "ck"))
+    stream.run_available(run)
+    assert len([p for p in (tmp_path / "out").iterdir()]) >= 3
+    want = closed(win.sliding_features(ev, *args, latency="latency_ms"), ev)
+    got = spark.read.parquet(str(tmp_path / "out")).drop("epoch")
+    assert got.columns == want.columns and tidy(got) == tidy(want) and want.count() > 20
