@@ -837,25 +837,30 @@ def _event_stream(spark, sf):
 
 
 def _replay(spark, sf, chunks=6):
-    """Events in order of time, replayed chunk by chunk: as many micro-batches as files."""
+    """Events in order of time, replayed chunk by chunk. Larger tables make more files; a micro-batch takes as many
+    as leave one for each chunk at least, so that their number does not grow with the files."""
     path = scratch_path(spark, "replay")
     split = writers.split_ordered(b.events(spark, sf), ["ts", "event_id"], chunks)
-    ledger.commit_chunks(split, path, ["ts", "event_id"])
-    raw = stream.stream_files(spark, path, b.EVENT_FILE, "parquet", "*.parquet", max_files=1)
+    files = ledger.commit_chunks(split, path, ["ts", "event_id"])
+    raw = stream.stream_files(spark, path, b.EVENT_FILE, "parquet", "*.parquet", max_files=max(1, files // chunks))
     return stream.with_watermark(raw, "ts")
 
 
 @query
 def stream_replay(spark, sf):
     """Window features out of a run of six micro-batches or more, in which nothing comes too late."""
+    path = scratch_path(spark, "stream-replay")
+    write = stream.parquet_by_epoch(path)
     with progress.ProgressTable(spark, scratch_path(spark, "progress")) as log:
-        made = _drained(spark, b.features(_replay(spark, sf)), "stream-replay")
+        stream.run_available(stream.sink_batches(
+            b.signal_features(_replay(spark, sf)), lambda batch, epoch: write(b.widened(batch), epoch),
+            stream.checkpoint_for(spark, "stream-replay")))
         log.settle(1)
     batches = progress.late_rows(progress.read_progress(spark, log.path)).agg(
         F.count("*").alias("n"), F.sum("n_late").alias("late")).first()
     if batches["n"] < 6 or batches["late"]:
         raise ValueError(f"{batches['n']} batches, {batches['late']} late rows")
-    return made
+    return spark.read.parquet(path).drop("epoch")
 
 
 @query

@@ -8,6 +8,7 @@ from helpers import at, rows
 from pulsegrid.functions import fixed_values as fv
 from pulsegrid.operators import learn
 from pulsegrid.operators import windows as win
+from pulsegrid.plans import catalog
 from pulsegrid.sources import writers
 from pulsegrid.streaming import ledger, progress, scoring, state, stream
 
@@ -202,3 +203,24 @@ def test_windows_turned_sideways_per_batch_are_the_batch(spark, tmp_path):
     want = closed(win.sliding_features(ev, *args, latency="latency_ms"), ev)
     got = spark.read.parquet(str(tmp_path / "out")).drop("epoch")
     assert got.columns == want.columns and tidy(got) == tidy(want) and want.count() > 20
+
+
+def test_more_files_make_no_more_replayed_batches(spark, tmp_path, monkeypatch):
+    """A table dealt over many files is replayed in six batches or a few more, in the order of time."""
+    data = [(i, at(i / 9), i % 3, "view", float(i), "{}") for i in range(300)]
+    events = spark.createDataFrame(data, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    made, commit = [], ledger.commit_chunks
+    monkeypatch.setattr(ledger, "commit_chunks", lambda *a, **k: made.append(commit(*a, **k)) or made[0])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    seen = []
+    try:
+        replay = catalog._replay(spark, str(tmp_path)).select("event_id")
+        stream.run_available(stream.sink_batches(replay, lambda b, e: seen.append([r[0] for r in b.collect()]), str(tmp_path / "ck")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    full = [ids for ids in seen if ids]
+    assert made[0] >= 20 and 6 <= len(full) <= 12
+    assert [i for ids in full for i in sorted(ids)] == list(range(300))
